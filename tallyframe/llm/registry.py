@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import simhash
+from tallyframe.llm import sharding, simhash
 
-MODULES = (simhash,)
+MODULES = (sharding, simhash)
 
 
 def queries() -> dict:
