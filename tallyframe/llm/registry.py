@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import sharding, simhash
+from tallyframe.llm import secrets, sharding, simhash
 
-MODULES = (sharding, simhash)
+MODULES = (secrets, sharding, simhash)
 
 
 def queries() -> dict:
