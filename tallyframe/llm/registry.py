@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import secrets, sharding, simhash
+from tallyframe.llm import bpe, secrets, sharding, simhash
 
-MODULES = (secrets, sharding, simhash)
+MODULES = (bpe, secrets, sharding, simhash)
 
 
 def queries() -> dict:
