@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, quality, secrets, sharding, simhash
+from tallyframe.llm import bpe, mixing, quality, secrets, sharding, simhash
 
-MODULES = (bpe, quality, secrets, sharding, simhash)
+MODULES = (mixing, bpe, quality, secrets, sharding, simhash)
 
 
 def queries() -> dict:
