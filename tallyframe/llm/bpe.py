@@ -32,21 +32,25 @@ from tallyframe.llm.common import table, text_batches
 LONG = 512
 #: The sum of squared word lengths that one recursive query takes on, which bounds its rows.
 SQUARES = 8_000_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers in each of two generations; a word in use moves to the younger one.
 REMEMBERED = 400_000
 
+#: A row's own contraction is packed as merged token, position and next position; LONG keeps positions within 10 bits.
 ENCODE = """
-with recursive steps(word, pos, token, merged, best) as (
-  select word, pos, token, merged, min((merged::bigint << 31) | pos) over (partition by word) from (
-    select word, pos, token, m.merged
-    from (select word, pos, token, lead(token) over (partition by word order by pos) as after from pieces) left join merges m on m.a = token and m.b = after)
+with recursive steps(word, pos, token, best) as (
+  select word, pos, token, min(own) over (partition by word) from (
+    select word, pos, token, (m.merged::bigint << 20) | (pos << 10) | next as own
+    from (select word, pos, token, lead(token) over w as after, lead(pos) over w as next from pieces window w as (partition by word order by pos))
+    left join merges m on m.a = token and m.b = after)
   union all
-  select word, pos, token, merged, min((merged::bigint << 31) | pos) over (partition by word) from (
-    select word, pos, token, m.merged from (
-      select word, pos, token, lead(token) over (partition by word order by pos) as after from (
-        select word, pos, case when pos = (best & 2147483647) then (best >> 31)::int else token end as token, best, lag(pos) over (partition by word order by pos) as before
-        from steps where best is not null)
-      where before is null or before <> (best & 2147483647)) left join merges m on m.a = token and m.b = after)
+  select word, pos, token, min(own) over (partition by word) from (
+    select word, pos, token, (m.merged::bigint << 20) | (pos << 10) | next as own
+    from (
+      select word, pos, token, lead(token) over w as after, lead(pos) over w as next from (
+        select word, pos, case when pos = ((best >> 10) & 1023) then (best >> 20)::int else token end as token
+        from steps where best is not null and pos <> (best & 1023))
+      window w as (partition by word order by pos))
+    left join merges m on m.a = token and m.b = after)
 )
 select word, list(token order by pos) as ids from steps where best is null group by word order by word
 """
@@ -73,6 +77,7 @@ class Codec:
             self.db.execute(f"create table {name} as select * from rows")
             self.db.unregister("rows")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _query(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, rows)
@@ -140,9 +145,11 @@ class Codec:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.words.findall(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = set().union(*cut).difference(self.known)
-        self.learn(new)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
