@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, mixing, pivots, quality, secrets, sharding, simhash
+from tallyframe.llm import ann, bpe, mixing, pivots, quality, secrets, sharding, simhash
 
-MODULES = (mixing, bpe, pivots, quality, secrets, sharding, simhash)
+MODULES = (mixing, ann, bpe, pivots, quality, secrets, sharding, simhash)
 
 
 def queries() -> dict:
