@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import ann, bpe, mixing, pii, pivots, quality, secrets, sharding, simhash
+from tallyframe.llm import ann, bpe, mixing, passages, pii, pivots, quality, secrets, sharding, simhash
 
-MODULES = (mixing, ann, bpe, pii, pivots, quality, secrets, sharding, simhash)
+MODULES = (mixing, ann, bpe, passages, pii, pivots, quality, secrets, sharding, simhash)
 
 
 def queries() -> dict:
