@@ -66,7 +66,10 @@ def weights(base: DataFrame, entropy: float | None, repeats: float | None, budge
     a = _exponent(shares.select("p"), entropy, repeats, None if budget == "cover" else (budget or total) / max(total, 1)) if total else 1.0
     power = F.pow("p", F.lit(a))
     z, least = shares.agg(F.sum(power), F.min(F.pow("p", F.lit(a - 1)))).first()
-    spent = F.lit(float(total)) * F.lit(z / least) if budget == "cover" and total else F.lit(float(budget or total))
+    if budget == "cover":
+        spent = F.lit(total * z / least if total else 0.0)
+    else:
+        spent = F.lit(float(budget or total))
     return (
         shares.withColumn("weight", power / F.lit(z or 1.0))
         .withColumn("budget", F.greatest(F.col("n"), F.round(spent * F.col("weight")).cast("long")) if budget == "cover" else F.round(spent * F.col("weight")).cast("long"))

@@ -8,8 +8,13 @@ MODULES = (mixing, ann, bpe, passages, pii, pivots, quality, secrets, sharding,
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.SQL.items()}
+    import corpus_pipeline
+
+    own = {k: s for m in MODULES for k, s in m.SQL.items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
