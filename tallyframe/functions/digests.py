@@ -27,6 +27,7 @@ def digest(payload: Column, algorithm: str = "sha256") -> Column:
     if algorithm == "sha256":
         return F.sha2(payload, 256)
     name = algorithm
+    _hasher(name)  # an unknown one is an error here, not in a task
 
     @F.pandas_udf("string")
     def of(parts: pd.Series) -> pd.Series:
