@@ -33,7 +33,7 @@ LONG = 512
 #: The sum of squared word lengths that one recursive query takes on, which bounds its rows.
 SQUARES = 8_000_000
 #: Words whose ids a worker remembers in each of two generations; a word in use moves to the younger one.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: A row's own contraction is packed as merged token, position and next position; LONG keeps positions within 10 bits.
 ENCODE = """
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for rows in batches:
             ids = codec.encode(rows["_text"].tolist())
             yield pd.DataFrame({id_col: rows[id_col], "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+            pa.default_memory_pool().release_unused()  # workers are kept, and would keep what Arrow holds
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return text_batches(docs).select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, schema)
@@ -214,12 +215,24 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
         for rows in batches:
             rows["decoded"] = codec.decode([x or b"" for x in rows["ids"]])
             yield rows
+            pa.default_memory_pool().release_unused()
 
     return encoded.mapInPandas(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return decode(encode(docs, id_col, text_col))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass: two would need a second worker, with a vocabulary of its own, for every task."""
+    raw, cut = _vocabulary(docs.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = _codec(raw.value, cut)
+        for rows in batches:
+            ids = codec.encode(rows["_text"].tolist())
+            yield pd.DataFrame({id_col: rows[id_col], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": codec.decode(ids)})
+            pa.default_memory_pool().release_unused()
+
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return text_batches(docs).select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,4 +66,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 5), (None, "a", 6), (1, "a", 7)], "doc_id long, text string, ids long")
     rows = B.round_trip(df).collect()
     assert sorted(bytes(r.decoded) for r in rows) == [b"", b"a", b"a"]
+    assert sorted(map(str, B.decode(B.encode(df)).collect())) == sorted(map(str, rows))
     assert B.round_trip(df.limit(0)).collect() == []
+
+
+def test_words_that_are_forgotten(codec, library, monkeypatch):
+    monkeypatch.setattr(B, "REMEMBERED", 10)
+    texts = [f"some thinerword{k} and re{k % 3}occurring ones" for k in range(40)]
+    for k in range(0, 40, 4):
+        same(codec, library, texts[k : k + 4])
