@@ -145,7 +145,7 @@ def op8_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL_PAIRS = """
 with recursive v as (
   select vec_id, label, embedding::double[] as e from embeddings where embedding is not null and label is not null and vec_id is not null
-  and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
 reach(x, y) as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x)
 select e.vec_id, (select count(*) from links where x = e.vec_id) as n_links, least(e.vec_id, coalesce((select min(y) from reach where x = e.vec_id), e.vec_id)) as component_id,

@@ -66,3 +66,14 @@ def test_hot_copies(spark):
     rows = [(i, 1, [1.0, 2.0, 3.0]) for i in range(60)] + [(60 + i, 1, [1.0, 2.0, 3.0 + i / 1000]) for i in range(40)] + cloud(9, 50, 3, 0.01)
     rows = [(k, label, v) for k, (_, label, v) in enumerate(rows)]
     assert got(spark, rows, pivots=4, block=6) == brute(rows)
+
+
+def test_sql(spark, tmp_path):
+    import duckdb
+
+    rows = cloud(7, 200, 16, 0.12) + [(900, None, [1.0] * 16), (901, 1, None), (902, 1, [0.0] * 16)]
+    spark.createDataFrame([(i, label, v) for i, label, v in rows], "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in V.op8_pivot_near_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(V.ALL_PAIRS).fetchall()) and any(r[1] for r in got)
