@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import table, text_batches
+from tallyframe.llm.common import cut, table, text_batches
 from tallyframe.llm.secrets import redact
 
 #: Words that a run of repeated units needs to be removed.
@@ -70,6 +70,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """One row for each removed run: doc_id, start, end (code points, end exclusive), n_units, n_words, kept_doc_id (the smallest id that keeps one of its units)."""
     found = text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_units, _SCHEMA)
     several = found.where("not again and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    several = cut(several)  # else it would come grouped by digest already, and the join could not split a digest's rows
     repeated = found.join(several, ["d0", "d1"], "left").where("again or doc_id > first")
     repeated = repeated.select("doc_id", "version", "unit", "start", "end", "words", F.coalesce("first", "doc_id").alias("first")).distinct()
     in_text = Window.partitionBy("doc_id", "version").orderBy("unit")
