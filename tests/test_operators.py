@@ -333,3 +333,31 @@ def test_chat(spark):
     found = chat.search(df, ["hello", "big"]).collect()
     assert [(r.message_id, r.score) for r in found] == [("m1", 0.4), ("m2", 0.2)]
     assert one(spark, chat.ranking(F.lit(1.0), F.lit(0.5), F.lit(0.0))) == pytest.approx(0.6)
+
+
+def test_progress(spark):
+    rows = spark.createDataFrame([("k", n, float(n + 1)) for n in range(4)], "key string, n int, s double")
+    got = reporting.progress_snapshots(rows, "key", F.lit(8), ["n"], F.col("s")).orderBy("n").collect()
+    assert [(r.done, r.files_per_second, r.eta_seconds) for r in got] == [(k + 1, 1.0, 7.0 - k) for k in range(4)]
+
+
+def test_source_ids(spark):
+    a = one(spark, digests.source_id(F.lit("local"), F.lit("/r"), F.lit("dev"), F.lit(None).cast("string")))
+    assert a == hashlib.sha256(b'{"device_uuid":"dev","label":null,"provider":"local","root":"/r"}').hexdigest()
+    assert one(spark, digests.cloud_root_id(F.lit("gdrive"), F.lit("/r"))) == hashlib.sha256(b'{"kind":"cloud-root","provider":"gdrive","root":"/r"}').hexdigest()
+    fallback = one(spark, digests.metadata_digest(path=F.lit("/a"), size=F.lit(3)))
+    assert fallback.algorithm == "fallback" and fallback.digest == hashlib.sha256(b'{"path":"/a","size":3}').hexdigest()
+
+
+def test_references(spark):
+    child = spark.createDataFrame([("a",), ("b",), (None,)], "file_id string")
+    parent = spark.createDataFrame([("a",)], "id string")
+    assert [r.file_id for r in ingest.violations(child, "file_id", parent, "id").collect()] == ["b"]
+    assert ingest.batch_row(spark, "b", "s", "now").first().status == "pending"
+    rows = spark.createDataFrame([(0, "u", "/a", "s", 1, 2.0, 3, "sha256", "h", "code", "t", True, "x"), (1, "u", "/b", "s", 5, 2.0, 3, "sha256", "h", "code", "t", True, "")], "ord long, uuid7 string, path string, source string, size long, mtime double, mode int, hash_algorithm string, blake3 string, category string, mime_type string, shortcut_allowed boolean, sha256 string")
+    made = ingest.table_rows(rows, "b1", spark.createDataFrame([("u", 4)], "file_id string, version_number int"))
+    assert [r.version_number for r in made["versions"].orderBy("version_number").collect()] == [5, 6] and made["hashes"].count() == 3
+    files = ingest.upsert_files(made["files"].drop("ord").limit(0), made["files"])
+    assert [(r.id, r.path) for r in files.collect()] == [("u", "/b")]
+    hashes = ingest.upsert_hashes(made["hashes"].drop("ord").limit(0), made["hashes"])
+    assert sorted((r.algorithm, r.digest, r["size"]) for r in hashes.collect()) == [("sha256", "h", 5), ("sha256", "x", 1)]
