@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = distinct.join(found, "fp")
     first = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = linked.join(first, "component").select("fp", "component_id")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_fp = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))  # so that the join can split a fingerprint's documents
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
