@@ -142,8 +142,8 @@ def labelled(count: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 def codes(text: str) -> np.ndarray:
     """Characters as numbers: 1 to 95 for printable ASCII, 96 other ASCII, 97 letters beyond, 98 the rest."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where((c >= 32) & (c < 127), c - 31, np.where(c < 128, 96, np.where((c >= 0xC0) & (c < 0x250), 97, 98)))
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+    return np.where((c >= 32) & (c < 127), c - 31, np.where(c < 128, 96, np.where((c >= 0xC0) & (c < 0x250), 97, 98))).astype(np.int8)
 
 
 def starts(length: int) -> range:
@@ -289,26 +289,32 @@ def default_tagger() -> Tagger:
 
 
 def found_by(net: Tagger, texts: list[str]) -> list[list[Span]]:
-    """The network's spans of each text."""
-    where, rows = [], []
-    coded = {}
+    """The network's spans of each text. No more than TOGETHER windows are held at once, however long a text is."""
+    tags: dict[int, np.ndarray] = {}
+    held: list[tuple[int, int, int, np.ndarray]] = []  # text, window, windows of the text, characters
+    margin = (WIDTH - STRIDE) // 2
+
+    def flush() -> None:
+        if held:
+            decoded = net.decode(np.stack([np.pad(part, (0, WIDTH - len(part))) for *_, part in held]))
+            for (k, w, n, _), row in zip(held, decoded, strict=True):
+                a, b = w * STRIDE + (margin if w else 0), w * STRIDE + (WIDTH - margin if w < n - 1 else WIDTH)
+                tags[k][a:b] = row[a - w * STRIDE : min(b, len(tags[k])) - w * STRIDE]
+            held.clear()
+
     for k, text in enumerate(texts):
-        if not (cues := [m.start() for m in _CUE.finditer(text)]):
+        if not _CUE.search(text):
             continue
-        coded[k] = codes(text)
-        n = len(starts(len(text)))
-        hit = sorted({w for at in cues for w in (at // STRIDE, at // STRIDE - 1) if 0 <= w < n})
-        for w in hit:
-            part = coded[k][w * STRIDE : w * STRIDE + WIDTH]
-            rows.append(np.pad(part, (0, WIDTH - len(part))))
-            where.append((k, w, n))
-    tags = {k: np.zeros(len(c), np.int8) for k, c in coded.items()}
-    margin = (WIDTH - STRIDE) // 2
-    for at in range(0, len(rows), TOGETHER):
-        decoded = net.decode(np.stack(rows[at : at + TOGETHER]))
-        for (k, w, n), row in zip(where[at : at + TOGETHER], decoded, strict=True):
-            a, b = w * STRIDE + (margin if w else 0), w * STRIDE + (WIDTH - margin if w < n - 1 else WIDTH)
-            tags[k][a:b] = row[a - w * STRIDE : min(b, len(tags[k])) - w * STRIDE]
+        coded, n, last = codes(text), len(starts(len(text))), -1
+        tags[k] = np.zeros(len(text), np.int8)
+        for m in _CUE.finditer(text):
+            for w in (m.start() // STRIDE - 1, m.start() // STRIDE):
+                if last < w < n:
+                    held.append((k, w, n, coded[w * STRIDE : w * STRIDE + WIDTH]))
+                    last = w
+                    if len(held) == TOGETHER:
+                        flush()
+    flush()
     out: list[list[Span]] = [[] for _ in texts]
     for k, row in tags.items():
         kind = (row + 1) // 2

@@ -101,3 +101,10 @@ def test_odd_rows(spark, net):
     rows = df.select(P.scan(df, net).alias("f")).collect()
     assert sorted(len(r.f.base) for r in rows) == [0, 0, 0, 4000]
     assert df.limit(0).select(P.scan(df, net)).collect() == []
+
+
+def test_few_windows_at_once(net, monkeypatch):
+    texts = [t for t, _ in P.labelled(30, 8)] + ["", "no cue", "7" * 500]
+    want = P.found_by(net, texts)
+    monkeypatch.setattr(P, "TOGETHER", 3)
+    assert P.found_by(net, texts) == want
