@@ -40,24 +40,20 @@ WORDS = (
 
 
 def _found(text: Column, pattern: str, least: int, group: int = 0) -> Column:
-    """Start and end of the pattern's matches whose group has the least length: what lies between is cut out to count."""
+    """Start, end and text of the pattern's matches whose group has the least length. Positions follow from the lengths of the
+    matches and of what lies between them."""
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), part.alias("part"))
-    spot = "struct<start:int,end:int>"
-    walk = F.aggregate(
-        F.filter(parts, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spot}>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-            F.when(
-                F.char_length(x["part"]) >= least,
-                F.array_append(acc["spans"], F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(F.array().cast(f"array<{spot}>"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["hit"])
+        spans = F.when(F.char_length(x["part"]) >= least, F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    walk = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(none)
 
 
 def _kind(number: int, spans: Column) -> Column:
@@ -118,7 +114,7 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold:
     spotted = F.array_sort(F.concat(_kind(0, _found(text, ASSIGN, 12, 2)), _kind(1, _found(text, ACCESS, 18)), _kind(2, _found(text, HEX.replace("+", "{16,}"), 16))))
     tokens = _found(text, TOKEN, 1)
     likely = F.filter(tokens, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    likely = F.filter(likely, lambda x: ratio(F.substring(text, x["start"] + 1, x["end"] - x["start"]), model) >= threshold)
+    likely = F.filter(likely, lambda x: ratio(x["hit"], model) >= threshold)
     return docs.withColumn("_base", spotted).withColumn("_spans", F.array_sort(F.concat("_base", _kind(3, likely))))
 
 
