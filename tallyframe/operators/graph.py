@@ -20,8 +20,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the ends of edges (a, b); component is the smallest node that can be reached.
 
     Nodes take the smallest label around them and then their label's label, so a path of n nodes settles in about log n
-    rounds. Only an emptiness test reaches the driver.
+    rounds. Only an emptiness test reaches the driver. Edges are kept first, so that both directions are of the same ones.
     """
+    edges = cut(edges.select("a", "b"))
     arcs = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     for _ in range(rounds):

@@ -236,8 +236,8 @@ def test_vectors(spark):
 
 def test_paths(spark):
     p = lambda f, *v: one(spark, f(*map(F.lit, v)))
-    assert p(paths.windows_to_wsl, "C:\\Users\\manni\\docs") == "/mnt/c/Users/manni/docs"
-    assert p(paths.wsl_to_windows, "/mnt/c/Users/manni/docs") == "C:\\Users\\manni\\docs"
+    assert p(paths.windows_to_wsl, "C:\\Users\\ann\\docs") == "/mnt/c/Users/ann/docs"
+    assert p(paths.wsl_to_windows, "/mnt/c/Users/ann/docs") == "C:\\Users\\ann\\docs"
     assert p(paths.wsl_to_windows, "/mnt/c") == "C:\\" and p(paths.wsl_to_windows, "/home/x") == "/home/x"
     assert [p(paths.is_wsl, x) for x in ("/mnt/c", "/mnt", "/a/mnt/c")] == [True, False, False]
     assert p(paths.extended_length, "C:\\x") == "\\\\?\\C:\\x" and p(paths.extended_length, "\\\\host\\s") == "\\\\?\\UNC\\host\\s" and p(paths.extended_length, "/x") == "/x"
