@@ -65,8 +65,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each end of the links (src, dst); component is the smallest node reachable.
 
     Each round every node takes the smallest label among its neighbours and then its label's label, so that
-    long chains shorten by half. Labels are cut after every round; the driver only sees one count.
+    long chains shorten by half. Labels are cut after every round; the driver only sees one count. The links are kept first,
+    as they are used in both directions: made twice, they could be another spanning forest the second time.
     """
+    edges = cut(edges.select("src", "dst"))
     both = cut(
         edges.select("src", "dst").where("src <> dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst")).distinct()
     )

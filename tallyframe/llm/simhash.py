@@ -141,7 +141,7 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("fp", "seg", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     )
-    return dealt.repartition("seg", "part", "x", "y").sortWithinPartitions("seg", "part", "x", "y").mapInPandas(_linked(bits), "src long, dst long")
+    return dealt.repartition("seg", "part", "x", "y").sortWithinPartitions("seg", "part", "x", "y", "fp").mapInPandas(_linked(bits), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, words: int = 3) -> DataFrame:

@@ -89,3 +89,22 @@ def test_dense_buckets_and_blocks(spark):
             break
     assert {f: found.get(f, f) for f in fps} == {f: fps[low[k]] for k, f in enumerate(fps)}
     assert S.links(df, 3, block=16).count() <= 4 * 40 * len(fps)
+
+
+def test_links_that_are_made_once(spark):
+    """Links that come out as another spanning forest each time they are made give the same components."""
+    from tallyframe.llm.common import components
+
+    def star(batches):
+        import random
+
+        import pandas as pd
+
+        for rows in batches:
+            for _, part in rows.groupby(rows["id"] % 5):
+                root = random.choice(part["id"].tolist())
+                yield pd.DataFrame({"src": part["id"], "dst": root}).query("src != dst")
+
+    links = spark.range(0, 200, numPartitions=1).mapInPandas(star, "src long, dst long")
+    for _ in range(4):
+        assert {(r.node, r.component) for r in components(links).collect()} == {(k, k % 5) for k in range(200)}
