@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.paths import provider_hint, z_path_id
+from tallyframe.operators.graph import cut
 
 # The rules of lanes, roles and task kinds.
 AUTONOMY = {"warp": {"execution": 3, "design": 1}, "cody": {"artifact_generation": 3, "execution": 0}, "copilot": {"coordination": 3, "direct_execution": 0}, "experimental": {"compute": 3, "infrastructure": 0}}
@@ -24,7 +25,7 @@ def resolve_z_paths(paths: DataFrame, files: DataFrame, column: str = "z_path")
 
 def find_any(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted (uuid7, hash, path) with the file found by id, else by digest, else by path; the first by id of several."""
-    out = wanted.withColumn("_w", F.monotonically_increasing_id())
+    out = cut(wanted.withColumn("_w", F.monotonically_increasing_id()))  # the numbers have to be the same each time they are used
     found = []
     for rank, (key, other) in enumerate((("uuid7", "uuid7"), ("hash", "blake3"), ("path", "path"))):
         side = files.select(F.col(other).alias("_k"), F.col("uuid7").alias("found_uuid7"), F.col("path").alias("found_path"))
