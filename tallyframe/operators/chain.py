@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +41,26 @@ def _hash(algorithm: str, body: bytes) -> str:
 
 def build(records: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """Chains for records (session_id, seq, timestamp_uuid7, content_hash, frame_id). Events of a session follow one another, so
-    a session is one task's work; sessions are spread. Sessions of any length: use streaming.chain, which holds one hash."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        previous, out = None, []
-        for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
-            body = {"blake3_hash": r.content_hash, "frame_id": r.frame_id, "previous_event_hash": previous, "timestamp_uuid7": r.timestamp_uuid7}
-            h = _hash(algorithm, json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode())
-            out.append((r.session_id, r.seq, r.timestamp_uuid7, r.content_hash, r.frame_id, previous, h))
-            previous = h
-        return pd.DataFrame(out, columns=["session_id", "seq", "timestamp_uuid7", "content_hash", "frame_id", "previous_event_hash", "event_hash"])
+    a session is one task's work; sessions are spread. Spark sorts them, on disk if need be, and Python holds one batch and the
+    last hash, so a session may have any length. Equal seq are ordered by the other columns; a null seq comes last."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, previous = (), None  # no session is equal to ()
+        for batch in batches:
+            before, hashes = [], []
+            for r in batch.to_pylist():
+                if r["session_id"] != session:
+                    session, previous = r["session_id"], None
+                body = {"blake3_hash": r["content_hash"], "frame_id": r["frame_id"], "previous_event_hash": previous, "timestamp_uuid7": r["timestamp_uuid7"]}
+                before.append(previous)
+                previous = _hash(algorithm, json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode())
+                hashes.append(previous)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[c.split()[0] for c in schema.split(", ")])
 
     schema = "session_id string, seq long, timestamp_uuid7 string, content_hash string, frame_id string, previous_event_hash string, event_hash string"
-    return records.select("session_id", "seq", "timestamp_uuid7", "content_hash", "frame_id").groupBy("session_id").applyInPandas(of, schema)
+    rows = records.select("session_id", F.col("seq").cast("long").alias("seq"), "timestamp_uuid7", "content_hash", "frame_id")
+    in_order = rows.repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("seq"), "timestamp_uuid7", "content_hash", "frame_id")
+    return in_order.mapInArrow(of, schema)
 
 
 def frame_tables(frames: DataFrame, provider: str = "recorder", algorithm: str = "sha256") -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
 """Literal scenarios, small enough to be seen through."""
 
 import hashlib
+import json
 import math
 
 import numpy as np
@@ -106,6 +107,26 @@ def test_reporting(spark):
     assert [(r.provider_id, r.healthy, r.provider_count, r.healthy_count) for r in rows] == [("a", True, 2, 1), ("b", False, 2, 1)]
 
 
+def test_chain_of_a_long_session(spark):
+    """A session over many batches is chained as one, and no task holds it whole."""
+    rows = [(s, k, f"t{k}", f"c{k % 7}", f"{s}/{k}") for s, n in (("long", 1000), ("one", 1), (None, 30), ("two", 40)) for k in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        df = spark.createDataFrame(rows, "session_id string, seq long, timestamp_uuid7 string, content_hash string, frame_id string").repartition(7)
+        built = chain.build(df)
+        found = {(r.session_id, r.seq): (r.previous_event_hash, r.event_hash) for r in built.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = {}, {}
+    for s, k, t, c, f in rows:
+        body = json.dumps({"blake3_hash": c, "frame_id": f, "previous_event_hash": last.get(s), "timestamp_uuid7": t}, separators=(",", ":"))
+        h = hashlib.sha256(body.encode()).hexdigest()
+        want[s, k], last[s] = (last.get(s), h), h
+    assert found == want
+    assert "FlatMapGroups" not in built._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chain(spark):
     rows = [("s", k, f"t{k}", f"h{k}", f"frame-{k}") for k in range(3)] + [("u", 0, "t", "h", "f")]
     built = chain.build(spark.createDataFrame(rows, "session_id string, seq long, timestamp_uuid7 string, content_hash string, frame_id string"))
