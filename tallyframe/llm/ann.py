@@ -1,14 +1,19 @@
 """Nearest neighbours by learned partitions.
 
-From a bounded sample of the vectors the graph of nearest neighbours is cut into parts of equal size, moving vectors to the
-part that most of their neighbours are in, within a capacity. A small network learns the parts in which a vector's
+From a bounded sample of distinct vectors the graph of nearest neighbours is cut into parts of equal size, moving vectors to
+the part that most of their neighbours are in, within a capacity. A small network learns the parts in which a vector's
 neighbours lie. It puts every vector of the table in its likeliest part and sends a query to its likeliest parts, as many
-as hold the wanted share of neighbours on held-out vectors of the sample. The parts that a query goes to are searched
-whole, in blocks, and the block's best are merged and ranked by exact inner products.
+as hold the wanted share of neighbours on held-out vectors of the sample, and more if these hold fewer rows than asked for.
+The parts that a query goes to are searched whole, and the best are merged and ranked by exact inner products.
+
+Tasks hold bins of rows: several small parts, or a piece of a large one. A row is shuffled once for each QUERIES_A_BLOCK
+queries of the table and a query once for each bin that it visits, so with up to that many queries the shuffle grows with the rows.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id, nor
 vectors of another length than most have. Copies are candidates of their own; ties go to the smaller id. A query does not
-find rows of its own id. Fewer candidates than asked for: all are returned, as every part is then searched.
+find its own row but finds other rows of its id; each row that asks has a list of its own, also if ids repeat. Fewer candidates
+than asked for: all are returned, as every part is then searched. An empty table gives an empty result. Only the id and the
+vector are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,21 +25,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, cut, table
-from tallyframe.llm.vectors import packed, unpacked
+from tallyframe.llm.common import cut, table
+from tallyframe.llm.vectors import element, packed, unpacked
 
-#: The bound on the sample that the partition and the network are fitted on.
-SAMPLE = 6_000
-PARTS, NEIGHBOURS, HIDDEN, EPOCHS = 32, 20, 128, 40
-#: Rows of the table, and queries, that meet in one task.
-BLOCK, QUERIES_A_BLOCK = 4096, 512
+#: Parts grow with the table between these bounds, so that one holds about so many rows until there are MOST_PARTS.
+PARTS, MOST_PARTS, PART_ROWS = 32, 128, 4096
+#: The bound on the sample that the partition and the network are fitted on, for each part.
+SAMPLE = 190
+NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 20, 128, 40, 0.94
+#: Rows of the table, and queries, that meet in one task; the fewest bins, so that small tables use several cores.
+BLOCK, QUERIES_A_BLOCK, LEAST_BINS = 32_768, 8_192, 8
+#: Queries whose scores are held at once.
+TOGETHER = 128
 
 
 def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, own: bool) -> np.ndarray:
-    score = queries @ rows.T
-    if own:
-        np.fill_diagonal(score, -np.inf)
-    return np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k]
+    out = []
+    for at in range(0, len(queries), 1024):
+        score = queries[at : at + 1024] @ rows.T
+        if own:
+            score[np.arange(len(score)), at + np.arange(len(score))] = -np.inf
+        out.append(np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k])
+    return np.concatenate(out)
 
 
 def balanced_parts(near: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 30, slack: float = 1.05) -> np.ndarray:
@@ -105,7 +117,7 @@ class Router:
         return np.argsort(-self._forward(x)[2], axis=1, kind="stable").astype(np.int32)
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, recall: float = 0.95, seed: int = 3) -> tuple[Router | None, int]:
+def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, recall: float = RECALL, seed: int = 3) -> tuple[Router | None, int]:
     """The router and how many parts a query goes to. None for samples too small to cut."""
     rng = np.random.default_rng(seed)
     if len(sample) < 8 * parts:
@@ -126,31 +138,75 @@ def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, recall: flo
     return router, int(np.argmax(np.array(share) >= recall)) + 1
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids = rows["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], unpacked(rows["vector"])[order]
-    out = []
-    asked = unpacked(queries["vector"])
-    rough = asked @ v.T
-    for q, name in enumerate(queries["vec_id"].to_numpy()):
-        score = np.where(ids == name, -np.inf, rough[q])
-        low = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-        at = np.flatnonzero((score >= low - 1e-9 * max(1.0, abs(low))) & (ids != name)) if np.isfinite(low) else np.flatnonzero(ids != name)
-        exact = (v[at] * asked[q]).sum(axis=1)  # in the same order for equal vectors, so copies tie
-        top = np.lexsort((ids[at], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": name, "vec_id": ids[at[top]], "score": exact[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-
-def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, parts: int = PARTS, sample: int = SAMPLE, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
+def _best(dtype: str, k: int):
+    """The best of the rows of a bin for each query, over the parts that it asks for."""
+
+    def of(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"asker": [], "query_id": [], "vec_id": [], "score": []})
+        rows = rows.iloc[np.lexsort((rows["vec_id"].to_numpy(), rows["part"].to_numpy()))]
+        part, ids, own, v = rows["part"].to_numpy(), rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), unpacked(rows["vector"], dtype)
+        here, first = np.unique(part, return_index=True)
+        ends = np.r_[first[1:], len(part)]
+        uid, name, ask = asked["uid"].to_numpy(), asked["query_id"].to_numpy(), unpacked(asked["vector"], dtype)
+        wants = np.stack([asked["to"].map(lambda to, p=p: p in to).to_numpy(bool) for p in here])
+        at_own = dict(zip(own.tolist(), range(len(own)), strict=True))
+        out = []
+        for low in range(0, len(ask), TOGETHER):
+            some = ask[low : low + TOGETHER]
+            score = np.full((len(some), len(v)), -np.inf)
+            for want, a, b in zip(wants[:, low : low + TOGETHER], first, ends, strict=True):
+                score[want, a:b] = some[want] @ v[a:b].T
+            for q, u in enumerate(uid[low : low + TOGETHER].tolist()):
+                if u in at_own:
+                    score[q, at_own[u]] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if len(v) > k else np.full(len(some), -np.inf)
+            for q, line in enumerate(score):
+                at = np.flatnonzero(line >= least[q] - 1e-9 * max(1.0, abs(least[q]))) if np.isfinite(least[q]) else np.flatnonzero(np.isfinite(line))
+                exact = (v[at] * some[q]).sum(axis=1)  # in the same order for equal vectors, so copies tie
+                top = np.lexsort((ids[at], -exact))[:k]
+                out.append((np.full(len(top), uid[low + q]), np.full(len(top), name[low + q]), ids[at[top]], exact[top]))
+        return pd.DataFrame(dict(zip(("asker", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return of
+
+
+def _bins(rows_of: dict[int, int], parts: int, block: int) -> tuple[list[int], list[int], int]:
+    """The first bin of each part, how many bins it has, and the number of bins. Small parts share one."""
+    most = min(block, max(1, -(-sum(rows_of.values()) // LEAST_BINS)))
+    first, several, now, filled = [0] * parts, [1] * parts, 0, 0
+    for p in range(parts):
+        n = rows_of.get(p, 0)
+        if n > block or filled + n > most and filled:
+            now, filled = now + (filled > 0), 0
+        first[p], several[p] = now, max(1, -(-n // block))
+        if n > block:
+            now += several[p]
+        else:
+            filled += n
+    return first, several, now + 1
+
+
+def _sampled(base: DataFrame, rows: int, most: int, dtype: str) -> np.ndarray:
+    """Distinct vectors, no more than `most`, chosen by their hash."""
+    order = F.xxhash64(F.lit(5), "vector")
+    few = base.where(F.shiftrightunsigned(order, 12) <= int(min(1.0, 4 * most / max(rows, 1)) * 2**52))
+    picked = few.groupBy(order.alias("h")).agg(F.first("vector").alias("vector")).orderBy("h").limit(most).collect()  # bounded by `most`
+    return unpacked(pd.Series([bytes(r["vector"]) for r in picked]), dtype) if picked else np.zeros((0, 1))
+
+
+def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, parts: int | None = None, recall: float = RECALL, block: int = BLOCK, together: int = QUERIES_A_BLOCK) -> DataFrame:
     """query_id, rank from 1, vec_id, score. queries: by default the rows whose id is divisible by `every`."""
-    pack = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), packed(F.col(vector_col)).alias("vector")).where("vec_id is not null and vector is not null")
+    dtype = element(rows, vector_col)
+    pack = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), packed(F.col(vector_col), dtype).alias("vector")).where("vec_id is not null and vector is not null")
     every_row = cut(pack(rows))
     most = every_row.groupBy(F.length("vector").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    base = every_row.where(F.length("vector") == (most["bytes"] if most else 0))
-    picked = base.select("vector").orderBy(F.xxhash64(F.lit(5), "vec_id", "vector"), "vec_id").limit(sample).collect()  # bounded by `sample`
-    router, probes = fit(unpacked(pd.Series([bytes(r[0]) for r in picked])), parts, k, recall) if picked else (None, 1)
+    of_length = F.length("vector") == (most["bytes"] if most else 0)
+    base, total = every_row.where(of_length), most["count"] if most else 0
+    parts = parts or max(PARTS, min(MOST_PARTS, 1 << max(0, total // PART_ROWS).bit_length() - 1 if total >= PART_ROWS else 1))
+    router, probes = fit(_sampled(base, total, SAMPLE * parts, dtype), parts, k, recall)
+    if router is None:
+        parts = 1
     held = base.sparkSession.sparkContext.broadcast(router)
 
     @F.pandas_udf("array<int>")
@@ -159,20 +215,30 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, id_co
             if held.value is None or not len(part):
                 yield pd.Series([np.zeros(1, np.int32)] * len(part))
             else:
-                yield pd.Series(list(held.value.parts(unpacked(part))))
-
-    kept = cut(base.withColumn("parts", routed("vector")).select("vec_id", "vector", F.col("parts")[0].alias("part"), F.when(F.lit(queries is None) & (F.col("vec_id") % every == 0), F.slice("parts", 1, probes)).alias("to")))
-    asked = kept.where("to is not null") if queries is None else pack(queries).where(F.length("vector") == (most["bytes"] if most else 0)).withColumn("to", F.slice(routed("vector"), 1, probes))
-    asked = asked.select("vec_id", "vector", F.explode("to").alias("part"))
-    size = kept.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    chunk = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("chunks"))
-    deal = bounded(cut(size.join(chunk, "part")))  # a row for each part
-    left = asked.join(deal, "part").select("vec_id", "vector", "part", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = kept.join(deal, "part").select("vec_id", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64(F.lit("b"), "vec_id", "vector"), "blocks").cast("int").alias("block"))
-    key = ["part", "chunk", "block"]
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from the same rows
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda q, r: _best(q, r, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                yield pd.Series(list(held.value.parts(unpacked(part, dtype))))
+
+    asks = F.lit(queries is None) & (F.col("vec_id") % every == 0)
+    kept = cut(base.withColumn("parts", routed("vector")).select("vec_id", "vector", F.col("parts")[0].alias("part"), F.when(asks, F.col("parts")).alias("to"), F.monotonically_increasing_id().alias("uid")))
+    if queries is None:
+        asked = kept.where("to is not null").select("uid", "vec_id", "vector", "to")
+    else:
+        asked = pack(queries).where(of_length).select((-1 - F.monotonically_increasing_id()).alias("uid"), "vec_id", "vector", routed("vector").alias("to"))
+    asked = cut(asked.withColumnRenamed("vec_id", "query_id"))
+    size = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}  # a row for each part
+    first, several, _ = _bins(size, parts, block)
+    chunks = max(1, -(-asked.count() // together))
+    numbers = lambda values: F.array(*map(F.lit, values))
+    count, begin, stop = numbers([size.get(p, 0) for p in range(parts)]), numbers(first), numbers([a + n - 1 for a, n in zip(first, several, strict=True)])
+    enough = F.aggregate("to", F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("n")), lambda acc, p: F.struct((acc["rows"] + F.element_at(count, p + 1)).cast("long").alias("rows"), (acc["n"] + F.when(acc["rows"] <= k, 1).otherwise(0)).alias("n")))["n"]
+    left = asked.withColumn("to", F.slice("to", 1, F.greatest(F.lit(probes), enough)))
+    bins = F.array_distinct(F.flatten(F.transform("to", lambda p: F.sequence(F.element_at(begin, p + 1), F.element_at(stop, p + 1)))))
+    left = left.select("uid", "query_id", "vector", "to", F.pmod(F.xxhash64(F.lit("q"), "uid"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(bins).alias("bin"))
+    left = left.withColumn("to", F.filter("to", lambda p: (F.element_at(begin, p + 1) <= F.col("bin")) & (F.col("bin") <= F.element_at(stop, p + 1))))
+    mine = F.element_at(begin, F.col("part") + 1) + F.pmod(F.xxhash64(F.lit("b"), "uid"), F.element_at(numbers(several), F.col("part") + 1)).cast("int")
+    right = kept.select("uid", "vec_id", "vector", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), mine.alias("bin"))
+    key = ["chunk", "bin"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(dtype, k), "asker long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
