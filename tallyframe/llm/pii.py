@@ -1,17 +1,20 @@
 """Personal data: four fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans. Texts are cut into overlapping windows; a window without a digit or an @ is
-all "other" by definition, as each kind needs one of them, and is not run. Every window is decoded by Viterbi, and a
-character takes its tag from the window in which it lies farthest from the edges, so that spans are read from one tag
-sequence over the whole text, whatever the windows cut. What the network adds must have the form of its kind (digits,
+The network is trained in numpy from labelled spans. Texts are cut into overlapping windows. Every kind needs a digit or an
+@, so windows are run around these, and further outward wherever a span reaches the edge of what was run; what is left
+out can't change a span that counts. Every window is decoded by Viterbi, and a character takes its tag from the window
+in which it lies farthest from the edges, so that spans are read from one tag sequence over the whole text, whatever the
+windows cut. What the network adds must have the form of its kind (digits,
 checksum, parts) and not overlap a span of fixed form.
 
 Cases: a null text is empty and has no spans. Positions count code points, end exclusive. Rows are handled one by one, so
-repeated ids and rows stay; only id and text are read, so other columns don't matter. Work grows in proportion to a text's length.
+repeated ids and rows stay; only id and text are read, so other columns don't matter. An empty table gives an empty result.
+Work grows in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -30,7 +33,7 @@ EMBED, HIDDEN = 16, 24
 #: Windows that go through the network at once.
 TOGETHER = 1024
 #: Labelled texts that the network is trained on, and passes over them: the bound of the training sample.
-SAMPLES, PASSES, BATCH = 2_000, 4, 32
+SAMPLES, PASSES, BATCH = 2_000, 4, 96
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -229,16 +232,17 @@ class Tagger:
         d_joined = d_em @ p["out"].T
         d_hidden = np.stack([d_joined[..., :HIDDEN], d_joined[::-1, :, HIDDEN:]])
         dh, dc = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
-        d_into = np.zeros((2, 99, 4 * HIDDEN), np.float32)
+        d_gates = np.zeros((2, n, t, 4 * HIDDEN), np.float32)
         for k in range(t - 1, -1, -1):
             i, f, o, gg, before, tc, h = trace[k]
             dh = dh + d_hidden[:, k]
             dc = dc + dh * o * (1 - tc * tc)
             dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=-1)
             g["wh"] += h.transpose(0, 2, 1) @ dz
-            for s in (0, 1):
-                np.add.at(d_into[s], both[s, :, k], dz[s])
+            d_gates[:, :, k] = dz
             dh, dc = dz @ p["wh"].transpose(0, 2, 1), dc * f
+        at = (both.reshape(2, -1) == np.arange(99)[:, None, None]).astype(np.float32).transpose(1, 0, 2)  # directions, characters, places
+        d_into = at @ d_gates.reshape(2, -1, 4 * HIDDEN)
         g["b"] = d_into.sum(1, keepdims=True)
         g["wx"] = p["embed"].T @ d_into
         g["embed"] = (d_into @ p["wx"].transpose(0, 2, 1)).sum(0)
@@ -257,7 +261,7 @@ def windows(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def train(sample: list[tuple[str, list[Span]]], passes: int = PASSES, seed: int = 0, rate: float = 0.01) -> Tagger:
+def train(sample: list[tuple[str, list[Span]]], passes: int = PASSES, seed: int = 0, rate: float = 0.02) -> Tagger:
     parts = [windows(*s) for s in sample]
     x, y = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
     net, rng = Tagger(seed), np.random.default_rng(seed)
@@ -288,33 +292,47 @@ def default_tagger() -> Tagger:
     return _TRAINED[key]
 
 
-def found_by(net: Tagger, texts: list[str]) -> list[list[Span]]:
-    """The network's spans of each text. No more than TOGETHER windows are held at once, however long a text is."""
+def found_by(net: Tagger, texts: list[str], everywhere: bool = False) -> list[list[Span]]:
+    """The network's spans of each text. No more than TOGETHER windows are held at once, however long a text is.
+
+    Windows are run around each digit and @, and then outward for as long as a span reaches the edge of what was run, so
+    every span with a digit or @ in it comes out as it would from all windows (everywhere=True)."""
+    coded: dict[int, np.ndarray] = {}
     tags: dict[int, np.ndarray] = {}
-    held: list[tuple[int, int, int, np.ndarray]] = []  # text, window, windows of the text, characters
+    ran: dict[int, np.ndarray] = {}
     margin = (WIDTH - STRIDE) // 2
 
-    def flush() -> None:
-        if held:
-            decoded = net.decode(np.stack([np.pad(part, (0, WIDTH - len(part))) for *_, part in held]))
-            for (k, w, n, _), row in zip(held, decoded, strict=True):
-                a, b = w * STRIDE + (margin if w else 0), w * STRIDE + (WIDTH - margin if w < n - 1 else WIDTH)
-                tags[k][a:b] = row[a - w * STRIDE : min(b, len(tags[k])) - w * STRIDE]
-            held.clear()
-
-    for k, text in enumerate(texts):
-        if not _CUE.search(text):
-            continue
-        coded, n, last = codes(text), len(starts(len(text))), -1
-        tags[k] = np.zeros(len(text), np.int8)
-        for m in _CUE.finditer(text):
-            for w in (m.start() // STRIDE - 1, m.start() // STRIDE):
-                if last < w < n:
-                    held.append((k, w, n, coded[w * STRIDE : w * STRIDE + WIDTH]))
-                    last = w
-                    if len(held) == TOGETHER:
-                        flush()
-    flush()
+    def ask(k: int, w: int) -> Iterator[tuple[int, int]]:
+        if 0 <= w < len(ran[k]) and not ran[k][w]:
+            ran[k][w] = True
+            yield k, w
+
+    def first() -> Iterator[tuple[int, int]]:
+        for k, text in enumerate(texts):
+            if not (everywhere and text or _CUE.search(text)):
+                continue
+            coded[k], tags[k], ran[k] = codes(text), np.zeros(len(text), np.int8), np.zeros(len(starts(len(text))), bool)
+            if everywhere:
+                ran[k][:] = True
+                yield from ((k, w) for w in range(len(ran[k])))
+            else:
+                for m in _CUE.finditer(text):
+                    yield from ask(k, m.start() // STRIDE - 1)
+                    yield from ask(k, m.start() // STRIDE)
+
+    todo: Iterator[tuple[int, int]] = first()
+    while held := list(itertools.islice(todo, TOGETHER)):
+        parts = [coded[k][w * STRIDE : w * STRIDE + WIDTH] for k, w in held]
+        decoded = net.decode(np.stack([np.pad(part, (0, WIDTH - len(part))) for part in parts]))
+        more: list[tuple[int, int]] = []
+        for (k, w), row in zip(held, decoded, strict=True):
+            a, b = w * STRIDE + (margin if w else 0), min(len(tags[k]), w * STRIDE + (WIDTH - margin if w < len(ran[k]) - 1 else WIDTH))
+            tags[k][a:b] = row[a - w * STRIDE : b - w * STRIDE]
+            if row[a - w * STRIDE] and row[a - w * STRIDE] % 2 == 0:  # inside: it began before
+                more += ask(k, w - 1)
+            if row[b - 1 - w * STRIDE]:
+                more += ask(k, w + 1)
+        todo = itertools.chain(more, todo)
     out: list[list[Span]] = [[] for _ in texts]
     for k, row in tags.items():
         kind = (row + 1) // 2
@@ -323,12 +341,12 @@ def found_by(net: Tagger, texts: list[str]) -> list[list[Span]]:
     return out
 
 
-def spans_of(net: Tagger, texts: list[str | None]) -> tuple[list[list[Span]], list[list[Span]]]:
+def spans_of(net: Tagger, texts: list[str | None], everywhere: bool = False) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base spans and all spans of each text, sorted by kind and start."""
     whole = [t or "" for t in texts]
     base = [base_spans(t) if _CUE.search(t) else [] for t in whole]
     both = []
-    for text, fixed, more in zip(whole, base, found_by(net, whole), strict=True):
+    for text, fixed, more in zip(whole, base, found_by(net, whole, everywhere), strict=True):
         new = [s for s in more if of_form(s[0], text[s[1] : s[2]])]
         if new and fixed:
             order = sorted((a, b) for _, a, b in fixed)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -85,6 +86,32 @@ def test_windows_meet(net):
         assert (0, a, text.index(" then")) in P.found_by(net, [text])[0]
 
 
+def long_spans(seed):
+    """Texts whose spans reach far before and after their digits and @."""
+    rng = random.Random(seed)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for _ in range(200):
+        name, gap, end = letters(rng.randrange(10, 90)), rng.choice(["@", " @ ", " @"]), f"{letters(rng.randrange(8, 90))}.{letters(rng.randrange(5, 60))}.org"
+        yield f"{'word ' * rng.randrange(0, 30)}{name}{gap}{end} and {'more ' * rng.randrange(0, 40)}"
+
+
+def test_same_as_all_windows(net, spark):
+    texts = [*long_spans(6), *(t for t, _ in P.labelled(100, 31)), *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())]
+    assert P.spans_of(net, texts) == P.spans_of(net, texts, everywhere=True)
+
+
+def test_network_alone_on_documents(net, spark):
+    """Documents are not made by labelled(): the network, without the patterns, finds most of what these find there, and little else."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    good = missed = wrong = 0
+    for text, got in zip(texts, P.found_by(net, texts), strict=True):
+        got, want = {s for s in got if P.of_form(s[0], text[s[1] : s[2]])}, set(plain(text))
+        touched = {g for g in got for w in want if g[1] < w[2] and w[1] < g[2]}
+        good, missed, wrong = good + len(want & got), missed + len(want - got), wrong + len(got - touched)
+    print(good, missed, wrong)
+    assert good >= 0.9 * (good + missed)
+
+
 def test_query(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = P.op4_bilstm_crf(spark, data).collect()
