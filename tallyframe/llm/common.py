@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown that it has no more rows than this.
@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def nested(df: DataFrame) -> Column:
+    """A whole row as one column, so that names which an operator adds beside it can't clash with the input's."""
+    return F.struct("*").alias("row") if df.columns else F.lit(None).alias("row")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder."""
     shared_folder(df.sparkSession)
