@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, mixing, quality, secrets, simhash
-from tallyframe.llm.common import shared_folder, table
+from tallyframe.llm.common import cut, shared_folder, table, text_batches
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps, by models of these documents and the labelled ones among them."""
-    model, level = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.select_good(docs, model, level).select(docs.columns)
+    model, going_on = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.select_good(cut(quality.weighed(text_batches(docs), model, going_on))).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
