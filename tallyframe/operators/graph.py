@@ -1,35 +1,66 @@
-"""Connected components, and the cut of lineage that iterative plans need."""
+"""Connected components, joins on keys that may be hot, and the cut of lineage that iterative plans need."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it has over so many rows, and over a hundred-thousandth of all: there are never more hot keys than that.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir that Spark keeps for this application. If that is unset, a temporary folder on a
+    local master; on a cluster executors would not share it, so it is an error there."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tallyframe-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the folder of spark.checkpoint.dir, which all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """The keys with so many rows that one task should not get them all; None if there are none."""
+    hot = cut(df.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows // HOT_KEYS)).select(key))
+    return None if hot.isEmpty() else hot
+
+
+def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """df joined with found, which has one row for each key. What hot keys need from found is broadcast: HOT_KEYS rows at most."""
+    if hot is None:
+        return df.join(found, key)
+    hot = F.broadcast(hot)
+    few = F.broadcast(found.join(hot, key, "left_semi"))
+    return df.join(hot, key, "left_anti").join(found, key).unionByName(df.join(few, key))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the ends of edges (a, b); component is the smallest node that can be reached.
 
     Nodes take the smallest label around them and then their label's label, so a path of n nodes settles in about log n
-    rounds. Only an emptiness test reaches the driver. Edges are kept first, so that both directions are of the same ones.
+    rounds. Only counts and emptiness tests reach the driver. Edges are kept first, so that both directions are of the same
+    ones. The hub of a star, and a label that many nodes have, are looked up by broadcast, so no task gets all their rows.
     """
     edges = cut(edges.select("a", "b"))
     arcs = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rows = arcs.count()
+    hubs = hot_keys(arcs, "a", rows)
     labels = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     for _ in range(rounds):
-        offered = arcs.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("component").alias("offer"))
-        nearer = labels.join(offered, F.col("node") == F.col("b")).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("label"))
-        above = labels.select(F.col("node").alias("up"), F.col("component").alias("over"))
-        step = cut(nearer.join(above, F.col("label") == F.col("up")).select("node", "was", F.least("label", "over").alias("component")))
+        offered = look_up(arcs, "a", labels.withColumnRenamed("node", "a"), hubs).groupBy("b").agg(F.min("component").alias("offer"))
+        nearer = cut(labels.join(offered, F.col("node") == F.col("b")).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("label")))
+        above = labels.select(F.col("node").alias("label"), F.col("component").alias("over"))
+        step = cut(look_up(nearer, "label", above, hot_keys(nearer, "label", rows)).select("node", "was", F.least("label", "over").alias("component")))
         labels = step.select("node", "component")
         if step.where("was <> component").isEmpty():
             return labels
