@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.operators import graph
+from tallyframe.operators.graph import cut, shared_folder  # noqa: F401  used by the operators beside this module
+
 #: A side is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
 #: Rows of text handed to a Python worker at once; the session's setting is lowered, never raised.
@@ -18,25 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder below spark.checkpoint.dir that Spark keeps for this application; one of our own if that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def nested(df: DataFrame) -> Column:
     """A whole row as one column, so that names which an operator adds beside it can't clash with the input's."""
     return F.struct("*").alias("row") if df.columns else F.lit(None).alias("row")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it is known to have no more than so many rows. df should be cut or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -66,28 +53,6 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for each end of the links (src, dst); component is the smallest node reachable.
-
-    Each round every node takes the smallest label among its neighbours and then its label's label, so that
-    long chains shorten by half. Labels are cut after every round; the driver only sees one count. The links are kept first,
-    as they are used in both directions: made twice, they could be another spanning forest the second time.
-    """
-    edges = cut(edges.select("src", "dst"))
-    both = cut(
-        edges.select("src", "dst").where("src <> dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst")).distinct()
-    )
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("near"))
-        up = labels.select(F.col("node").alias("up"), F.col("component").alias("above"))
-        new = cut(
-            labels.join(near, F.col("node") == F.col("dst"))
-            .select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-            .join(up, F.col("low") == F.col("up"))
-            .select("node", "old", F.least("low", "above").alias("component"))
-        )
-        labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each end of the links (src, dst); component is the smallest node reachable."""
+    return graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b"))

@@ -1,16 +1,21 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points, pivots, are a bounded sample of the vectors themselves. A vector is described by the pivots ordered by
-nearness, cut where a pivot can no longer be the nearest one of any vector linked to it: with unit vectors at most r apart,
-<y, nearest> - <y, p> <= r * |nearest - p| holds if p is nearest for a vector linked to y. The inverted lists of the pivots are
-intersected in pairs of nearest pivots: two vectors become candidates only if they share both of their nearest pivots,
-each in the other's list, and each candidate pair meets in just one list, where its cosine is checked. By the bound no link
-is lost. Lists too long for one task are dealt out as pairs of blocks.
+Reference points, pivots, are a bounded sample of the vectors themselves. A vector is described by its permutation: the SHARED
+nearest pivots in order of nearness. Beside it stand the pivots that can be among the SHARED nearest of any vector linked to
+it. With unit vectors at most r apart, a pivot q is surely nearer than p to every linked vector if <y, q> - <y, p> > r * |q - p|, so p can
+be dropped once that holds for SHARED pivots q. The inverted list of a pivot holds the vectors that it is nearest to, and those that can be
+linked to one of them; two vectors meet in the list of their two nearest pivots, in just one place. There the pivots that they share are counted: all of
+each one's permutation must be among the other's possible pivots. Pairs with the full count are verified by their cosine. By the
+bound no link is lost. Lists too long for one task are dealt out as pairs of blocks.
+
+Postings carry the vector (as floats, if components are floats): fetching vectors only for pairs that pass would mean to emit these
+pairs, and a group of near copies has as many of them as the square of its size, while blocks repeat a vector once in BLOCK partners.
 
 Equal vectors are one node with a count, so copies are never paired; a block returns counts and a spanning forest of its
 links, never the pairs. Cases: vectors that are null, empty, zero or hold null or non-finite components, and those with null
 labels, link with nothing and are kept; so do vectors of different lengths with each other. Rows that repeat an id are
 vectors of their own that share it. A row with a null id links like others, but names no component unless all its ids are null.
+An empty table gives an empty result. Only the id, the vector and the label are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,82 +28,110 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import bounded, components, cut, forest, table
-from tallyframe.llm.vectors import packed, unpacked, units
+from tallyframe.llm.vectors import element, packed, unpacked, units
 
 #: Pivots: as many as the root of the number of vectors divided by 8, within these bounds.
 LEAST, MOST = 16, 1024
 #: Vectors on one side of a block.
 BLOCK = 1024
+#: Pivots of a permutation.
+SHARED = 4
+#: Surviving pairs that are verified at once, so that vectors of pairs stay small.
+TOGETHER = 50_000
 
 
-def _pivots(nodes: DataFrame, count: int, seed: int) -> dict[int, np.ndarray]:
+def _pivots(nodes: DataFrame, count: int, seed: int, dtype: str) -> dict[int, np.ndarray]:
     """Unit pivots by length of vectors: a sample of bounded size (count of each of the commonest lengths)."""
     lengths = [r[0] for r in nodes.groupBy("bytes").count().orderBy(F.desc("count"), "bytes").limit(64).collect()]
     found = {}
     for n in lengths:
         rows = nodes.where(F.col("bytes") == n).select("vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(count).collect()
-        found[n] = units(unpacked(pd.Series([bytes(r[0]) for r in rows])))
+        found[n] = units(unpacked(pd.Series([bytes(r[0]) for r in rows]), dtype))
     return found
 
 
-def _described(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """node, bytes, label, vector, home (nearest pivot) and list (all pivots that can be home to a vector linked to it)."""
+def permutations(unit: np.ndarray, pivots: np.ndarray, reach: float, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For unit vectors: the nearest pivots in order; which can be nearest for a vector within reach; which can be among its `shared` nearest."""
+    near = unit @ pivots.T
+    shared = min(shared, len(pivots))
+    order = np.argsort(-near, axis=1, kind="stable")[:, :shared].astype(np.int32)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+    surely = np.zeros(near.shape, np.int32)  # how many of the nearest pivots are nearer than p to whatever is in reach
+    for k in range(shared):
+        q = order[:, k]
+        surely += near[np.arange(len(unit)), q][:, None] - near > reach * apart[q] + 1e-9
+    return order, surely < 1, surely < shared
+
+
+def _described(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float, dtype: str) -> DataFrame:
+    """The nodes with order (the permutation, as bytes), possible (a bit for each pivot) and list (pivots whose lists it is in)."""
     held = nodes.sparkSession.sparkContext.broadcast(pivots)
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
 
-    @F.pandas_udf("home int, list array<int>")
+    @F.pandas_udf("home int, list array<int>, `order` binary, possible binary")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in parts:
-            home, lists = np.zeros(len(vectors), np.int32), [np.zeros(1, np.int32)] * len(vectors)
+            out: dict[str, list] = {"home": [0] * len(vectors), "list": [np.zeros(1, np.int32)] * len(vectors), "order": [bytes(2)] * len(vectors), "possible": [b"\x80"] * len(vectors)}
             size = vectors.map(len).to_numpy()
             for n in np.unique(size):
                 at = np.flatnonzero(size == n)
                 if (p := held.value.get(int(n))) is None:
-                    continue
-                near = units(unpacked(vectors.iloc[at])) @ p.T
-                first = near.argmax(axis=1)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
-                inside = near[np.arange(len(at)), first][:, None] - near <= reach * apart[first] + 1e-9
-                home[at] = first
-                for k, row in zip(at, inside, strict=True):
-                    lists[k] = np.flatnonzero(row).astype(np.int32)
-            yield pd.DataFrame({"home": home, "list": lists})
+                    continue  # lengths too rare to have pivots: one list, in which all may be linked
+                order, first, some = permutations(units(unpacked(vectors.iloc[at], dtype)), p, reach)
+                bits = np.packbits(some, axis=1)
+                for k, o, f, b in zip(at, order, first, bits, strict=True):
+                    out["home"][k], out["list"][k], out["order"][k], out["possible"][k] = int(o[0]), np.flatnonzero(f).astype(np.int32), o.astype("<i2").tobytes(), b.tobytes()
+            yield pd.DataFrame(out)
+
+    return nodes.withColumn("_p", of("vector")).select("node", "n", "label", "bytes", "vector", "_p.home", "_p.list", "_p.order", "_p.possible")
+
 
-    return nodes.withColumn("_p", of("vector")).select("node", "n", "label", "bytes", "vector", F.col("_p.home").alias("home"), F.col("_p.list").alias("list"))
+def _counted(order: np.ndarray, possible: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share all pivots: the permutation of each lies within the possible pivots of the other."""
+    near = np.zeros(possible.shape, np.float32)
+    near[np.arange(len(order))[:, None], order] = 1
+    may, full = possible.astype(np.float32), order.shape[1] - 0.5
+    return (near[left] @ may[right].T > full) & (may[left] @ near[right].T > full)
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, dtype: str):
     """For each list pair of blocks: node, links (vectors linked to it there), root (smallest node of its component there)."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         side = rows["side"].to_numpy()
-        unit, n, node = units(unpacked(rows["vector"])), rows["n"].to_numpy(), rows["node"].to_numpy()
+        unit, n, node = units(unpacked(rows["vector"], dtype)), rows["n"].to_numpy(), rows["node"].to_numpy()
         if rows["p"].iloc[0] == rows["q"].iloc[0]:
             own, x, y = rows["own"].to_numpy(), rows["x"].iloc[0], rows["y"].iloc[0]
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        hit = unit[left] @ unit[right].T >= threshold
+        order = np.frombuffer(b"".join(rows["order"]), "<i2").reshape(len(rows), -1)
+        possible = np.unpackbits(np.frombuffer(b"".join(rows["possible"]), np.uint8).reshape(len(rows), -1), axis=1)
+        pair = _counted(order, possible, left, right)
         if rows["p"].iloc[0] == rows["q"].iloc[0] and x == y:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
+            pair = np.triu(pair, 1)
+        i, j = np.nonzero(pair)
         i, j = left[i], right[j]
+        hit = [np.einsum("ij,ij->i", unit[i[a : a + TOGETHER]], unit[j[a : a + TOGETHER]]) >= threshold for a in range(0, len(i), TOGETHER)]
+        hit = np.concatenate([*hit, np.zeros(0, bool)])
+        i, j = i[hit], j[hit]
         links = np.zeros(len(rows), np.int64)
         np.add.at(links, i, n[j])
         np.add.at(links, j, n[i])
-        order = np.argsort(node)
-        place = np.argsort(order)
-        root = node[order[forest(len(rows), place[i], place[j])[place]]]
+        by_node = np.argsort(node)
+        place = np.argsort(by_node)
+        root = node[by_node[forest(len(rows), place[i], place[j])[place]]]
         some = np.flatnonzero(links)
         return pd.DataFrame({"node": node[some], "links": links[some], "root": root[some]})
 
     return of
 
 
-def _links(nodes: DataFrame, threshold: float, count: int, block: int, seed: int) -> DataFrame:
-    described = cut(_described(nodes, _pivots(nodes, count, seed), threshold))
-    pair = described.select("node", "n", "label", "bytes", "vector", "home", F.explode("list").alias("other")).select(
-        "node", "n", "label", "bytes", "vector", F.least("home", "other").alias("p"), F.greatest("home", "other").alias("q"), (F.col("home") > F.col("other")).cast("int").alias("side")
+def _links(nodes: DataFrame, threshold: float, count: int, block: int, seed: int, dtype: str) -> DataFrame:
+    described = cut(_described(nodes, _pivots(nodes, count, seed, dtype), threshold, dtype))
+    carried = ("node", "n", "vector", "order", "possible")
+    pair = described.select(*carried, "label", "bytes", "home", F.explode("list").alias("other")).select(
+        *carried, "label", "bytes", F.least("home", "other").alias("p"), F.greatest("home", "other").alias("q"), (F.col("home") > F.col("other")).cast("int").alias("side")
     )
     key = ["label", "bytes", "p", "q"]
     blocks = lambda s: F.greatest(F.lit(1), F.ceil(F.sum((F.col("side") == s).cast("int")) / block)).cast("int")
@@ -114,17 +147,17 @@ def _links(nodes: DataFrame, threshold: float, count: int, block: int, seed: int
     same = F.col("p") == F.col("q")
     x = F.when(same, F.least("own", "opposite")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("opposite"))
     y = F.when(same, F.greatest("own", "opposite")).when(F.col("side") == 0, F.col("opposite")).otherwise(F.col("own"))
-    return dealt.select(*key, x.alias("x"), y.alias("y"), "own", "side", "node", "n", "vector").groupBy(*key, "x", "y").applyInPandas(_verified(threshold), "node long, links long, root long")
+    return dealt.select(*key, x.alias("x"), y.alias("y"), "own", "side", *carried).groupBy(*key, "x", "y").applyInPandas(_verified(threshold, dtype), "node long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, pivots: int | None = None, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """One row per row: vec_id, n_links (other vectors linked directly) and component_id (smallest id reachable)."""
-    own = cut(rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), packed(F.col(vector_col)).alias("vector")).withColumn("digest", F.sha2("vector", 256)))
+    own = cut(rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), packed(F.col(vector_col), dtype := element(rows, vector_col)).alias("vector")).withColumn("digest", F.sha2("vector", 256)))
     part = F.col("vector").isNotNull() & F.col("label").isNotNull()
     grouped = own.where(part).groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("bytes", F.length("vector")))
     total = nodes.count()
-    found = cut(_links(nodes, threshold, pivots or max(LEAST, min(MOST, int(total**0.5 / 8))), block, seed))
+    found = cut(_links(nodes, threshold, pivots or max(LEAST, min(MOST, int(total**0.5 / 8))), block, seed, dtype))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     named = nodes.select("node", "first").join(group, "node")

@@ -77,3 +77,19 @@ def test_sql(spark, tmp_path):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     got = sorted(tuple(r) for r in V.op8_pivot_near_dedup(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(V.ALL_PAIRS).fetchall()) and any(r[1] for r in got)
+
+
+def test_permutations_and_counts():
+    """The permutation is in order of nearness; no link misses the full count; pairs that are far apart seldom have it."""
+    rng = np.random.default_rng(1)
+    base = V.units(rng.normal(size=(400, 12)))
+    x, y = base, V.units(base + 0.04 * rng.normal(size=base.shape))
+    pivots = V.units(rng.normal(size=(40, 12)))
+    reach = np.sqrt(2 - 2 * 0.98) + 1e-7
+    order, first, some = V.permutations(np.concatenate([x, y]), pivots, reach)
+    near = np.concatenate([x, y]) @ pivots.T
+    assert (order == np.argsort(-near, axis=1)[:, : V.SHARED]).all()
+    assert first[np.arange(800), order[:, 0]].all() and (some >= first).all() and some[np.arange(800)[:, None], order].all()
+    pair = V._counted(order, some, np.arange(400), np.arange(400, 800))
+    linked = x @ y.T >= 0.98
+    assert linked.any() and pair[linked].all() and pair[~linked].mean() < 0.2
