@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyframe.llm import simhash as S
 
@@ -62,11 +63,87 @@ def test_odd_rows(spark):
 
 
 def test_kept(spark):
-    rows = [(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "other words stand here"), (None, "a b c d")]
-    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, component_id string")
-    kept = S.keep_first(d, S.near_duplicates(d))
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "other words stand here"), (None, "a b c d"), (3, "one more text of this id"), (0, "third text"), (3, "third text")]
+    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, row string").withColumns({"h0": F.lit(1), "first": F.lit(2), "stays": F.lit(3)})
+    kept = S.keep_first(d, S.similar(d))
     assert kept.columns == d.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(0, "third text"), (1, "a b c d"), (3, "one more text of this id"), (3, "other words stand here"), (None, "a b c d")], key=str)
+    assert S.keep_first(d.limit(0), S.similar(d.limit(0))).collect() == []
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_similar(rows, bits=S.CANDIDATE_BITS):
+    """text -> smallest id of its component, by all pairs of different texts."""
+    made = S.Shingles()
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(t or "", []).append(i)
+    texts = list(ids)
+    sets, words = [shingle_set(t) for t in texts], [made.words(t) for t in texts]
+    fp = np.array([S._majority(made.of(w, 2)) if len(w) else 0 for w in words], np.uint64)
+    up = list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in np.flatnonzero(np.bitwise_count(fp[:a] ^ fp[a]) <= bits):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                up[root(a)] = root(b)
+    low = {}
+    for k, t in enumerate(texts):
+        low.setdefault(root(k), []).extend(i for i in ids[t] if i is not None)
+    return {t: min(low[root(k)], default=None) for k, t in enumerate(texts)}
+
+
+def edited(seed, n):
+    """Texts with copies that differ in a few words, in chains and stars, and some in other places."""
+    rng = np.random.default_rng(seed)
+    draw = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+    base = [draw(int(rng.integers(3, 200))) for _ in range(6)]
+    out = [" ".join(b) for b in base]
+    for _ in range(n):
+        b = base[int(rng.integers(0, len(base)))]
+        b = list(b)
+        for _ in range(int(rng.integers(0, 4))):
+            b[int(rng.integers(0, len(b)))] = f"new{rng.integers(0, 99)}"
+        if rng.random() < 0.2:
+            base.append(b)
+        out.append(" ".join(b) if rng.random() < 0.8 else " ".join(b).upper())
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"segments": 2, "sets": 7}])
+def test_similar_against_brute_force(spark, more):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(1000 + k, t) for k, t in enumerate(edited(3, 150))] + [(2000, None), (2001, ""), (2002, " \n"), (None, "only null ids here"), (2003, "a b"), (2004, "A  b")]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, fp string, node int")
+    want = brute_similar(rows)
+    text = dict(zip([(r.h0, r.h1) for r in df.select(*S._digests(F.col("text"))).collect()], [t or "" for _, t in rows], strict=True))
+    got = {text[r.h0, r.h1]: r.component_id for r in S.similar(df, **more).collect()}
+    assert got == want and len(set(want.values())) < len(want) - 50
+
+
+def test_wide_rings_against_all_pairs(spark):
+    """Buckets of one and of two segments, for several budgets, connect what all pairs connect."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 25)
+    fps = sorted({int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 12)), replace=False))) for b in np.repeat(base, 12)})
+    u = np.array(fps, np.uint64)
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(fps)], "node long, fp long")
+    for bits in (0, 1, 3, 5, 9, 11):
+        i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u) <= bits, 1))
+        want = S.forest(len(u), i, j)
+        for segments in (1, 2) if bits else (1,):
+            found = {r.node: r.component for r in S.components(S.links(df, bits, block=40, segments=segments)).collect()}
+            assert [found.get(k, k) for k in range(len(u))] == want.tolist(), (bits, segments)
 
 
 def test_dense_buckets_and_blocks(spark):
@@ -75,7 +152,7 @@ def test_dense_buckets_and_blocks(spark):
     base = rng.integers(0, 2**63, 40)
     fps = {int(b) ^ int(sum(1 << int(k) for k in rng.choice(64, 2, replace=False))) for b in np.repeat(base[:6], 60)} | set(map(int, base))
     fps = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
     found = {r.node: r.component for r in S.components(S.links(df, 3, block=16)).collect()}
     low = list(range(len(fps)))
     u = [f & (2**64 - 1) for f in fps]
