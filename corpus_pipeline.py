@@ -22,8 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs, simhash.near_duplicates(docs))
+    """The document with the smallest id of each group of near-duplicates: texts whose five-word shingles are similar by 0.8 or more."""
+    return simhash.keep_first(docs, simhash.similar(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
