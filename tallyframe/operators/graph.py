@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it has over so many rows, and over a hundred-thousandth of all: there are never more hot keys than that.
-HOT_ROWS, HOT_KEYS = 1_000, 100_000
+HOT_ROWS, HOT_KEYS = 200, 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
