@@ -4,8 +4,13 @@ Both models are first-order over ASCII characters, one of random strings and one
 labelled samples with additive smoothing. A token is a secret if the log-likelihood ratio of its transitions, in bits
 each, reaches a threshold. Everything runs as SQL functions inside one pass over the texts, without a shuffle.
 
+A text is cut into pieces of about PIECE characters at places where no match can lie across (SAFE), and each piece is searched on its
+own, so that the work grows in proportion to a text's length. A stretch without such a place, a long run of letters or
+spaces, stays one piece.
+
 Cases: a null text is empty and has no spans. Positions count code points, end exclusive. Rows are handled one by one,
-so repeated ids and rows stay as they are; columns named like ours don't matter as only id and text are read.
+so repeated ids and rows stay as they are. The input's columns are nested in one, so their names don't matter. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import table
+from tallyframe.llm.common import nested, table
 
 # The base patterns, with the group that must have a least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +29,9 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 #: What the Markov models look at: runs of so many characters at least.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Characters of a piece, and where pieces may end: after a line break, or after a space that follows none of what a space in an assignment can follow.
+PIECE = 4_000
+SAFE = r"""\n|(?<=[^\x20:="'DNTYdnty])\x20"""
 #: Bits per transition by which the random model must be likelier.
 THRESHOLD = 0.9
 #: Ordinary words that identifiers are made of, in the languages of the corpus.
@@ -108,14 +116,33 @@ def ratio(token: Column, model: list[float]) -> Column:
     return walk["sum"] / F.greatest(F.char_length(token) - 1, F.lit(1))
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _base and _spans: sorted arrays of (start, kind, end), the spans of fixed form and all spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spotted = F.array_sort(F.concat(_kind(0, _found(text, ASSIGN, 12, 2)), _kind(1, _found(text, ACCESS, 18)), _kind(2, _found(text, HEX.replace("+", "{16,}"), 16))))
-    tokens = _found(text, TOKEN, 1)
-    likely = F.filter(tokens, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    likely = F.filter(likely, lambda x: ratio(x["hit"], model) >= threshold)
-    return docs.withColumn("_base", spotted).withColumn("_spans", F.array_sort(F.concat("_base", _kind(3, likely))))
+def _pieces(text: Column, size: int) -> Column:
+    """Pieces of the text, each with the position (at) where it starts."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}(?:{SAFE})|.+?(?:{SAFE}|\\z)"), F.lit(0))
+    starts = F.aggregate(F.transform(pieces, F.char_length), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    return F.filter(F.arrays_zip(pieces.alias("text"), starts.alias("at")), lambda x: x["text"].isNotNull())
+
+
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]", piece: int = PIECE) -> DataFrame:
+    """row (all columns of docs), base and spans (sorted arrays of (start, kind, end): the spans of fixed form, and all spans)
+    and hidden (the text with a mark in place of what spans cover)."""
+
+    def spotted(c: Column) -> Column:
+        base = F.concat(_kind(0, _found(c["text"], ASSIGN, 12, 2)), _kind(1, _found(c["text"], ACCESS, 18)), _kind(2, _found(c["text"], HEX.replace("+", "{16,}"), 16)))
+        return F.struct(c["at"].alias("at"), c["text"].alias("text"), F.array_sort(base).alias("base"))
+
+    def judged(c: Column) -> Column:
+        apart = F.filter(_found(c["text"], TOKEN, 1), lambda x: ~F.exists(c["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        likely = F.filter(apart, lambda x: ratio(x["hit"], model) >= threshold)
+        return F.struct(c["at"].alias("at"), c["text"].alias("text"), c["base"].alias("base"), F.array_sort(F.concat(c["base"], _kind(3, likely))).alias("spans"))
+
+    def placed(name: str) -> Column:
+        one = lambda c: F.transform(c[name], lambda x: F.struct((x["start"] + c["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + c["at"]).alias("end")))
+        return F.flatten(F.transform("pieces", one)).alias(name)
+
+    pieces = F.transform(F.transform(_pieces(F.coalesce(F.col(text_col), F.lit("")), piece), spotted), judged)
+    hidden = F.array_join(F.transform("pieces", lambda c: redact(c["text"], c["spans"], mark)), "")
+    return docs.select(nested(docs), pieces.alias("pieces")).select("row", placed("base"), placed("spans"), hidden.alias("hidden"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -137,9 +164,9 @@ def default_model(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model(spark, sf_dir))
-    count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model(spark, sf_dir)).select("row.doc_id", "base", "spans")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op2_secret_scan": op2_secret_scan}

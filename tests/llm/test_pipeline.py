@@ -9,33 +9,22 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from tallyframe.llm import bpe, quality, secrets, simhash
 
-from tests.llm import test_secrets, test_simhash
+from tests.llm import test_quality, test_secrets, test_simhash
 
 
 def plain(spark, sf_dir, docs):
     """What each stage should leave, a list of rows each, by loops over rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model, level = quality.fit(docs, labels)
-    rows = [r.asDict() for r in docs.withColumn("noise", quality._noise(F.col("doc_id"), F.col("text"), 7)).collect()]
-    kept = []
-    for r in rows:
-        b = quality.Grams().buckets(r["text"])
-        if not len(b) or (model.astype(np.float32).astype(float)[b].sum() + r.pop("noise")) / len(b) >= level:
-            r.pop("noise", None)
-            kept.append(r)
+    kept = {i for i, _ in test_quality.brute(docs.select("doc_id", "text"), *quality.fit(docs, labels))}
+    kept = [r.asDict() for r in docs.collect() if r["doc_id"] in kept]
     yield kept
-    group = {i: c for i, _, c in test_simhash.brute([(r["doc_id"], r["text"]) for r in kept])}
-    kept = [r for r in kept if group[r["doc_id"]] == r["doc_id"]]
+    group = test_simhash.brute_similar([(r["doc_id"], r["text"]) for r in kept])
+    kept = [r for r in kept if group[r["text"]] == r["doc_id"]]
     yield kept
     bits = secrets.default_model(spark, sf_dir)
     for r in kept:
         found = test_secrets.base(r["text"])
-        out, at = "", 0
-        for a, _, b in sorted(found + test_secrets.extra(r["text"], found, bits)):
-            if a >= at:
-                out += r["text"][at:a] + "[SECRET]"
-            at = max(at, b)
-        r["text"] = out + r["text"][at:]
+        r["text"] = test_secrets.plain_hidden(r["text"], sorted(found + test_secrets.extra(r["text"], found, bits)))
         r["n_chars"] = len(r["text"])
     yield kept
 
@@ -72,15 +61,14 @@ def test_run_and_planted_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{src}/documents.parquet")
     text = docs.where("doc_id = 1").first().text
     more = spark.createDataFrame([(9001, text, "en", "src1", len(text)), (9002, text.replace(" is ", " was ", 1), "en", "src2", len(text)), (9003, None, "en", "src3", 0), (9004, "", "en", None, 0), (None, "no id here", "en", "src1", 10)], docs.schema)
-    docs.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.union(more).withColumns({"_copy": F.lit(1), "row": F.lit("x"), "spans": F.lit(2.0), "h0": F.lit(3)}).write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{src}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     ids = Counter(r.doc_id for r in C.run(spark, str(tmp_path)).collect())
     assert 1 in ids and not ids.keys() & {9001, 9002}
     assert ids[None] == 1
     good = {r.doc_id for r in spark.read.parquet(f"{src}/labels.parquet").where("quality = 1").collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    first = {i for i in good if groups[i] == i}
+    first = good & {r.first for r in simhash.similar(docs).where("stays").collect()}
     assert len(first & ids.keys()) >= 0.97 * len(first)
 
 
