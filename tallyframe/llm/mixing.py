@@ -5,11 +5,14 @@ Temperature mixing: a source with share p of all tokens gets the weight p**a / s
 repeated more often than a limit. It is found by bisection, four halvings a round, each round one small aggregation
 over the sources. A source's budget of tokens is spent on whole permutations of its documents, epochs, and one that
 breaks off within the budget. A permutation deals documents by hash to blocks and orders each block by hash; counts of
-blocks give positions and running tokens, so no task holds a source, and a block made large by one id is dealt out.
+blocks give positions and running tokens, so no task holds a source. A block made large by one id is dealt out by a hash of the texts, and
+rows of equal id, source and text are one row with a count until they have their positions, so the result
+depends on what the rows hold, not on how files or tasks cut them.
 
 Tokens are runs of other than white space. Cases: a null text has no tokens, a null source is the source "\\N". A source without
 tokens has no weight and is not drawn. A document goes in if the budget holds all of it. Rows that repeat an id count
-on their own. An empty table gives an empty result.
+on their own. A very long text is one row whose tokens are counted where it is read. An empty table gives an empty result. Only id, source and
+text are read, and mixed() nests the input's columns, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, cut, table
+from tallyframe.llm.common import bounded, cut, nested, table
 
 #: Documents that are ordered together; a block of over four times as many is dealt out.
 BLOCK_DOCS = 2_000
@@ -58,9 +61,9 @@ def _exponent(shares: DataFrame, entropy: float | None, repeats: float | None, r
 def weights(base: DataFrame, entropy: float | None, repeats: float | None, budget: int | str | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per source with tokens: source, n (its tokens), weight, budget, epochs (whole ones), rest (tokens), blocks.
 
-    base: (source, tokens). budget: tokens in all; None for as many as there are, "cover" for as few as hold every document.
+    base: (source, tokens, rows: how many such rows there are). budget: tokens in all; None for as many as there are, "cover" for as few as hold every document.
     """
-    per = cut(base.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).where("n > 0"))
+    per = cut(base.groupBy("source").agg(F.sum(F.col("tokens") * F.col("rows")).alias("n"), F.sum("rows").alias("docs")).where("n > 0"))
     total = per.agg(F.sum("n")).first()[0] or 0
     shares = per.withColumn("p", F.col("n") / F.lit(float(max(total, 1))))
     a = _exponent(shares.select("p"), entropy, repeats, None if budget == "cover" else (budget or total) / max(total, 1)) if total else 1.0
@@ -87,11 +90,10 @@ def _hash(seed: int) -> Column:
 def draws(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4, budget: int | str | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row for each time that a document is drawn: doc_id, source, tokens, weight, epoch, position (gapless from 0 in the
     source's epoch) and progress (the part of the source's budget that is spent before it)."""
-    base = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\\N")).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"), F.monotonically_increasing_id().alias("at")
-        )
+    read = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\\N")).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"), F.xxhash64(text_col).alias("text")
     )
+    base = cut(read.groupBy("doc_id", "source", "tokens", "text").agg(F.count("*").alias("rows")))
     per = cut(weights(base, entropy, repeats, budget, block_docs))
     copies = (
         base.join(bounded(per), "source")
@@ -101,30 +103,39 @@ def draws(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None =
         .withColumn("block", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % F.col("blocks"))
     )
     key = ["source", "epoch", "block"]
-    large = cut(copies.groupBy(*key).count().where(F.col("count") > 4 * block_docs).select(*key, F.ceil(F.col("count") / block_docs).alias("parts")))
-    dealt = copies.join(bounded(large), key, "left").withColumn("part", F.coalesce(F.pmod("at", "parts"), F.lit(0)))
+    sized = copies.groupBy(*key).agg(F.sum("rows").alias("count"))
+    large = cut(sized.where(F.col("count") > 4 * block_docs).select(*key, F.ceil(F.col("count") / block_docs).alias("parts")))
+    dealt = copies.join(bounded(large), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), "parts"), F.lit(0)))
     key = [*key, "part"]
     before = Window.partitionBy("source", "epoch").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*key).agg(F.count("*").alias("_rows"), F.sum("tokens").alias("_tokens"))
+    cost = F.col("tokens") * F.col("rows")
+    sums = dealt.groupBy(*key).agg(F.sum("rows").alias("_rows"), F.sum(cost).alias("_tokens"))
     starts = cut(sums.select(*key, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("row_start"), F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("token_start")))
-    inside = Window.partitionBy(*key).orderBy("hash", "doc_id", "tokens")
+    inside = Window.partitionBy(*key).orderBy("hash", "doc_id", "tokens", "text").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.join(bounded(starts), key).select(
-        "doc_id", "source", "tokens", "weight", "epoch", "n", "budget", "epochs", "rest",
-        (F.col("row_start") + F.row_number().over(inside) - 1).alias("position"),
-        (F.col("token_start") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("spent"),
+        "doc_id", "source", "tokens", "weight", "epoch", "n", "budget", "epochs", "rest", "rows",
+        (F.col("row_start") + F.sum("rows").over(inside) - F.col("rows")).alias("position"),
+        (F.col("token_start") + F.sum(cost).over(inside) - cost).alias("spent"),
     )
-    return placed.where("epoch < epochs or spent + tokens <= rest").select(
+    each = _one_by_one(placed).withColumn("position", F.col("position") + F.col("k")).withColumn("spent", F.col("spent") + F.col("k") * F.col("tokens"))
+    return each.where("epoch < epochs or spent + tokens <= rest").select(
         "doc_id", "source", "tokens", "weight", F.col("epoch").cast("int").alias("epoch"), "position", ((F.col("epoch") * F.col("n") + F.col("spent")) / F.col("budget")).alias("progress")
     )
 
 
+def _one_by_one(counted: DataFrame, most: int = 4096) -> DataFrame:
+    """Each row as often as its count (rows) says, with k from 0: in steps, so that no array is longer than `most`."""
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {most}L"))))
+    return steps.withColumn("k", F.explode(F.sequence(F.col("step") * most, F.least(F.col("rows"), (F.col("step") + 1) * most) - 1)))
+
+
 def mixed(docs: DataFrame, drawn: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, each as often as it is drawn. Rows with null ids stay once."""
-    times = drawn.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("_times"))
-    rows = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").withColumnRenamed("count", "_rows")
-    often = times.join(rows, id_col, "left").select(id_col, F.ceil(F.col("_times") / F.coalesce("_rows", F.lit(1))).cast("int").alias("_times"))
-    kept = docs.where(F.col(id_col).isNotNull()).join(often, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    times = drawn.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    rows = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.count("*").alias("rows")).where("rows > 1")
+    often = times.join(rows, "doc_id", "left").select("doc_id", F.ceil(F.col("times") / F.coalesce("rows", F.lit(1))).cast("int").alias("times"))
+    kept = docs.where(F.col(id_col).isNotNull()).select(nested(docs), F.col(id_col).alias("doc_id")).join(often, "doc_id")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 #: Production parameters of the query.

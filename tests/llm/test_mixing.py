@@ -68,3 +68,17 @@ def test_odd_rows(spark):
     assert M.draws(d.limit(0)).collect() == []
     assert M.draws(d.where("doc_id = 4")).collect() == []
     assert Counter(r.doc_id for r in M.mixed(d, M.draws(d, None, None)).collect())[9] == 60
+
+
+def test_layout_does_not_matter(spark):
+    """One id with many texts and many equal rows, in two layouts and orders: the same rows, positions and what falls off."""
+    rows = [(9, "hot", f"same words {k % 40}" + " more" * (k % 5)) for k in range(300)] + [(9, "hot", "equal row")] * 90 + [(k, "b", "x y z " * (k % 7)) for k in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"rows": F.lit(1), "k": F.lit("k"), "times": F.lit(2), "row": F.lit(3)})
+    one = rows_of(M.draws(d.repartition(7), 1.0, None, block_docs=8))
+    assert one == rows_of(M.draws(d.orderBy(F.desc("text")).coalesce(2), 1.0, None, block_docs=8)) and len(one) > 300
+    by = defaultdict(list)
+    for r in one:
+        by[r[1], r[4]].append(r[5])
+    assert all(len(set(p)) == len(p) for p in by.values())
+    assert [sorted(M._one_by_one(spark.createDataFrame([(n,)], "rows long"), 3).select("k").collect()) for n in (1, 3, 4, 10)] == [[(k,) for k in range(n)] for n in (1, 3, 4, 10)]
+    assert M.mixed(d, M.draws(d, None, None)).columns == d.columns
