@@ -1,6 +1,7 @@
 """Repeated passages by line hashing.
 
-A line is cut further at sentence ends, so that a passage is found inside a paragraph too. Units are normalised (words in
+A line is cut further at the ends of sentences and clauses, so that a passage is found inside a paragraph too, but for less than a
+clause at each end. Units are normalised (words in
 lower case, single spaces), hashed to 128 bits and grouped by digest over the whole corpus; the document with the smallest id keeps
 a unit, its first occurrence there, and every other occurrence is a repeat. Units are short and short ones
 repeat by chance, so only runs of neighbouring repeats with enough words together are removed; their places in the
@@ -23,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, table, text_batches
+from tallyframe.llm.common import cut, nested, table, text_batches
 from tallyframe.llm.secrets import redact
 
 #: Words that a run of repeated units needs to be removed.
 LEAST_WORDS = 25
-_UNIT = re.compile(r"[^\n.!?]*[.!?\n]+|[^\n.!?]+")
+_UNIT = re.compile(r"[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+")
 _WORD = re.compile(r"\w+")
 _SCHEMA = "doc_id long, version long, unit int, start int, end int, words int, again boolean, d0 long, d1 long"
 
@@ -86,8 +87,11 @@ def without(text: Column, runs: Column) -> Column:
 
 def removed(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the runs found in them. The id has to be unique."""
-    of_doc = found.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
-    return docs.join(of_doc, id_col, "left").withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_runs")))).select(docs.columns)
+    of_doc = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    rows = docs.select(nested(docs), F.col(id_col).alias("id")).join(of_doc, "id", "left")
+    text = F.col(f"row.`{text_col}`")
+    new = F.when(F.col("runs").isNull(), text).otherwise(without(text, F.col("runs")))
+    return rows.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +100,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LINES = rf"""
 with cut as (
-  select doc_id, text, unnest(regexp_extract_all(text, '[^\n.!?]*[.!?\n]+|[^\n.!?]+')) as raw, generate_subscripts(regexp_extract_all(text, '[^\n.!?]*[.!?\n]+|[^\n.!?]+'), 1) as k from documents),
+  select doc_id, text, unnest(regexp_extract_all(text, '[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+')) as raw, generate_subscripts(regexp_extract_all(text, '[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+'), 1) as k from documents),
 placed as (select *, sum(length(raw)) over (partition by doc_id order by k) - length(raw) as pos, regexp_extract_all(lower(raw), '[\pL\pN_\pM]+') as w from cut),
 units as (
   select doc_id, row_number() over (partition by doc_id order by k) as unit, len(w) as words, md5(list_aggregate(w, 'string_agg', ' ')) as d,
