@@ -97,3 +97,30 @@ def bundle(session_rows: DataFrame, frames: DataFrame, events: DataFrame) -> Dat
     checked = verify(events).select("session_id", "chain_valid")
     rows = frames.join(events.select("session_id", "seq", "event_hash", "previous_event_hash"), ["session_id", "seq"], "left")
     return session_rows.join(checked, "session_id", "left").join(rows, "session_id", "left").withColumn("chain_valid", F.coalesce("chain_valid", F.lit(True)))
+
+
+def recorder_states(log: DataFrame) -> DataFrame:
+    """One row per session from its log (session_id, seq, kind: start, stop, frame or error, at, detail): state, started_at, stopped_at,
+    frame_count, starts and last_error.
+
+    A start while running changes nothing; another one begins a run and clears the error. Frames count while it runs. An error
+    ends the capture and stays until the next start; the state is running until a stop is logged, as a recorder says it.
+    A session without a start is stopped."""
+    w = Window.partitionBy("session_id").orderBy("seq")
+    turn = F.when(F.col("kind").isin("start", "stop", "error"), F.col("kind"))
+    before = F.last(turn, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = log.withColumn("_before", before)
+    begins = (F.col("kind") == "start") & (F.coalesce("_before", F.lit("stop")) != "start")
+    last = lambda c, when: F.max_by(c, F.when(when, F.col("seq")))
+    out = rows.groupBy("session_id").agg(
+        last("kind", F.col("kind").isin("start", "stop")).alias("_last"),
+        F.max(F.when(begins, F.col("at"))).alias("started_at"),
+        last("at", F.col("kind").isin("stop", "start")).alias("_at"),
+        F.count_if((F.col("kind") == "frame") & (F.col("_before") == "start")).alias("frame_count"),
+        F.count_if(begins).alias("starts"),
+        F.max(F.when(F.col("kind") == "error", F.struct("seq", "detail"))).alias("_error"),
+        F.max(F.when(begins, F.col("seq"))).alias("_begun"),
+    )
+    running = F.coalesce(F.col("_last") == "start", F.lit(False))
+    error = F.when(F.col("_begun").isNull() | (F.col("_error.seq") > F.col("_begun")), F.col("_error.detail"))
+    return out.select("session_id", F.when(running, "running").otherwise("stopped").alias("state"), "started_at", F.when(~running, F.col("_at")).alias("stopped_at"), "frame_count", "starts", error.alias("last_error"))

@@ -100,3 +100,22 @@ def batch_row(spark, batch_id: str, source: str, generated_at: str, status: str
 def violations(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose reference has nothing to point at."""
     return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+
+
+def complete_batches(batches: DataFrame, done: DataFrame) -> DataFrame:
+    """batches with the status complete for those named in done (id)."""
+    marked = batches.join(done.select("id").distinct().withColumn("_done", F.lit(True)), "id", "left")
+    return marked.withColumn("status", F.when(F.col("_done"), "complete").otherwise(F.col("status"))).select(batches.columns)
+
+
+def file_shapes(nodes: DataFrame, edges: DataFrame, versions: DataFrame, shortcuts: DataFrame) -> DataFrame:
+    """nodes (uuid7, hash, canonical_path, metadata) with what belongs to each as arrays of structs: relationships (source, target,
+    edge_type), versions (id, version_number) and shortcuts (path, target_path), each in order and empty if there is none.
+    For files whose versions fit a row."""
+
+    def of(rows: DataFrame, key: str, name: str, fields: list[str]) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("uuid7")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+    out = nodes.join(of(edges, "source", "relationships", ["source", "target", "edge_type"]), "uuid7", "left")
+    out = out.join(of(versions, "file_id", "versions", ["version_number", "id"]), "uuid7", "left").join(of(shortcuts, "file_id", "shortcuts", ["path", "target_path"]), "uuid7", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("relationships", "versions", "shortcuts")})

@@ -56,3 +56,8 @@ def progress_snapshots(rows: DataFrame, key: str, total: Column, order: list[str
     done = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     pace = F.when(seconds > 0, done / seconds)
     return rows.withColumn("done", done).withColumn("files_per_second", F.coalesce(pace, F.lit(0.0))).withColumn("eta_seconds", (total - done) / F.nullif(pace, F.lit(0.0)))
+
+
+def latest(files: DataFrame, time: str, name: str) -> DataFrame:
+    """The row with the latest time, the first by name among equals; none of an empty table."""
+    return files.where(F.col(time).isNotNull()).orderBy(F.desc(time), name).limit(1)

@@ -101,3 +101,29 @@ def verification(state: DataFrame, records: DataFrame, files: DataFrame, keys: t
 def run_errors(error_log: DataFrame, most: int = 100) -> DataFrame:
     """The last errors, oldest first."""
     return error_log.orderBy(F.desc("ord")).limit(most).orderBy("ord")
+
+
+def readiness(state: DataFrame, log: DataFrame, index_there: bool, tables: dict[str, DataFrame]) -> DataFrame:
+    """(check, passed, detail, all_passed): whether stage 2 is logged as complete, stage 3 can run or has begun, and the tables hold rows.
+    log: (ord, line). The last line that says so counts."""
+    found = F.regexp_extract("line", r"(?i)stage\s*2\s*complete:\s*([0-9]+)", 1)
+    second = log.where(found != "").agg(F.max_by(found, "ord").alias("n"))
+    two = second.select(F.lit("stage2").alias("check"), F.col("n").isNotNull().alias("passed"), F.coalesce(F.concat(F.lit("complete: "), "n", F.lit(" files indexed")), F.lit("no completion in the log")).alias("detail"))
+    done = lambda k: F.coalesce(F.bool_and(F.coalesce(f"stage{k}_complete", F.lit(False))), F.lit(False))
+    begun = F.coalesce(F.bool_or(F.col("stage3_started_at").isNotNull() | (F.coalesce("stage3_files_processed", F.lit(0)) > 0)), F.lit(False))
+    three = state.agg(done(2).alias("ready"), (begun | done(3)).alias("begun")).select(
+        F.lit("stage3").alias("check"),
+        (F.col("ready") & F.lit(index_there)).alias("passed"),
+        F.when(~F.col("ready"), "stage 2 is not complete").when(~F.lit(index_there), "the index of stage 2 is missing").when(F.col("begun"), "has started or is complete").otherwise("ready").alias("detail"),
+    )
+    sizes = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    listed = F.array_sort(F.collect_list(F.struct(F.expr("array_position(array({}), name)".format(", ".join(f"'{n}'" for n in tables))).alias("k"), "name", "n")))
+    if sizes is None:
+        return report(two, three)
+    text = lambda keep, show: F.array_join(F.transform(F.filter("t", keep), show), " ")
+    full, empty = text(lambda x: x["n"] > 0, lambda x: F.concat(x["name"], F.lit("="), x["n"])), text(lambda x: x["n"] == 0, lambda x: x["name"])
+    base = sizes.agg(listed.alias("t")).select(F.lit("database").alias("check"), F.forall("t", lambda x: x["n"] > 0).alias("passed"), F.concat(full, F.when(empty != "", F.concat(F.lit(" empty: "), empty)).otherwise("")).alias("detail"))
+    return report(two, three, base)

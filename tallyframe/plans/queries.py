@@ -403,3 +403,6 @@ def message_search(spark, d):
 def display_times(spark, d):
     c = W.table(spark, d, "customer").select("c_custkey", F.floor("c_acctbal").alias("s"))
     return c.select("c_custkey", times.clock(F.col("s")).alias("clock"), times.progress(F.col("c_custkey") % 7, F.col("c_custkey")).alias("progress"))
+
+
+from tallyframe.plans import inventory  # noqa: E402,F401  they register more queries
