@@ -42,8 +42,8 @@ def read_array(spark: SparkSession, path: str, schema: str, strict: bool = False
 def last_line(spark: SparkSession, path: str) -> str:
     """The last line that is not blank, trimmed; empty if there is none."""
     rows = spark.read.text(path).where(F.trim("value") != "").withColumn("_o", F.monotonically_increasing_id())
-    row = rows.orderBy(F.desc("_o")).limit(1).first()
-    return row["value"].strip() if row else ""
+    found = rows.agg(F.max_by("value", "_o")).first()[0]
+    return found.strip() if found else ""
 
 
 def write_manifest(spark: SparkSession, records: DataFrame, path: str, source: str, generated_at: str | None = None, **header: str) -> None:

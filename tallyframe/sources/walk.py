@@ -2,12 +2,14 @@
 
 spark.read.format("file_walk").option("root", ...) with the options excludedDirs (names, comma-separated, any case), excludedPrefixes (paths,
 comma-separated), digest (none, or an algorithm: content is then read once, in chunks, for it and SHA-256) and errors
-(true adds the files that could not be read). One partition for the files of the root and one for each directory in it.
+(true adds the files and folders that could not be read). Directories are split level by level until there are PARTS partitions or none is left
+to split, so that a tree with one directory at its top is not one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import os
 import stat
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ ALWAYS_EXCLUDED = ("containerd", "docker", "lost+found")
 LOCAL_EXCLUDED = ("containerd", "docker", "lost+found", "cache", "caches", "temp", "tmp", "android")
 WINDOWS_EXCLUDED = ("$recycle.bin", "program files", "program files (x86)", "programdata", "system volume information", "windows")
 CHUNK = 1 << 20
+#: Partitions that a tree should have; the directories that are listed to get there are no more than that and their siblings.
+PARTS = 64
 SCHEMA = "path string, name string, size long, mtime double, mode int, is_symlink boolean, hash_algorithm string, digest string, sha256 string, error string"
 
 
@@ -30,9 +34,23 @@ class _Part(InputPartition):
         self.folder, self.deep = folder, deep
 
 
+def hasher(algorithm: str):
+    """A new hash object; blake3 needs its wheel, and asking for it without it is an error."""
+    if algorithm == "blake3":
+        import blake3
+
+        return blake3.blake3()
+    return hashlib.sha256() if algorithm == "sha256" else hashlib.blake2b(digest_size=32)
+
+
+def best_digest() -> str:
+    """blake3 where its wheel is installed, else sha256; rows always say which."""
+    return "blake3" if importlib.util.find_spec("blake3") else "sha256"
+
+
 def _digests(path: str, algorithm: str) -> tuple[str, str]:
     """(digest, SHA-256) of a file, read once."""
-    first = hashlib.sha256() if algorithm == "sha256" else hashlib.blake2b(digest_size=32)
+    first = hasher(algorithm)
     second = first if algorithm == "sha256" else hashlib.sha256()
     with open(path, "rb") as f:
         while chunk := f.read(CHUNK):
@@ -51,8 +69,10 @@ class WalkReader(DataSourceReader):
         self.excluded = {n.lower() for n in (*names("excludeddirs"), *ALWAYS_EXCLUDED)}
         self.prefixes = [p.rstrip("/") for p in names("excludedprefixes")]
         self.digest = options.get("digest", "none")
-        if self.digest not in ("none", "sha256", "blake2b"):
+        if self.digest not in ("none", "sha256", "blake2b", "blake3"):
             raise ValueError(f"unknown digest {self.digest}")
+        if self.digest == "blake3":
+            hasher("blake3")
         self.errors = options.get("errors", "false").lower() == "true"
 
     def _left_out(self, path: str) -> bool:
@@ -64,11 +84,26 @@ class WalkReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
             raise FileNotFoundError(self.root)
-        inner = [e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False)]
-        return [_Part(self.root, False), *(_Part(os.path.join(self.root, n), True) for n in self._kept(self.root, inner))]
+        shallow, deep = [], [self.root]
+        while deep and len(shallow) + len(deep) < PARTS:
+            inner = []
+            for folder in deep:
+                try:
+                    with os.scandir(folder) as entries:
+                        names = [e.name for e in entries if e.is_dir(follow_symlinks=False)]
+                    shallow.append(_Part(folder, False))
+                    inner += [os.path.join(folder, n) for n in self._kept(folder, names)]
+                except OSError:
+                    shallow.append(_Part(folder, True))  # the task that reads it says what is wrong
+            deep = inner
+        return shallow + [_Part(folder, True) for folder in deep]
+
+    def _row(self, path: str, name: str, error: OSError) -> tuple:
+        return (path, name, None, None, None, None, None, None, None, str(error))
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for folder, names, files in os.walk(partition.folder):
+        failed: list[OSError] = []
+        for folder, names, files in os.walk(partition.folder, onerror=failed.append):
             names[:] = self._kept(folder, names) if partition.deep else []
             for name in sorted(files):
                 path = os.path.join(folder, name)
@@ -80,7 +115,10 @@ class WalkReader(DataSourceReader):
                     yield (path, name, s.st_size, s.st_mtime, s.st_mode, os.path.islink(path), self.digest if self.digest != "none" else None, *both, None)
                 except OSError as e:
                     if self.errors:
-                        yield (path, name, None, None, None, None, None, None, None, str(e))
+                        yield self._row(path, name, e)
+        if self.errors:
+            for e in failed:
+                yield self._row(str(e.filename), os.path.basename(str(e.filename).rstrip("/")), e)
 
 
 def file_digest(path: Column) -> Column:
@@ -117,9 +155,20 @@ def walk(spark: SparkSession, root: str, excluded_dirs: tuple[str, ...] = LOCAL_
     return spark.read.format("file_walk").options(**options).load()
 
 
+def walk_all(spark: SparkSession, roots: list[str], **options) -> DataFrame:
+    """The files below all roots that exist, each once, also if roots lie in one another."""
+    there = [r for r in dict.fromkeys(roots) if os.path.isdir(r)]
+    if not there:
+        return spark.createDataFrame([], SCHEMA)
+    rows = walk(spark, there[0], **options)
+    for r in there[1:]:
+        rows = rows.unionByName(walk(spark, r, **options))
+    return rows if len(there) == 1 else rows.dropDuplicates(["path"])
+
+
 def count_files(spark: SparkSession, roots: list[str]) -> int:
     """Files below the roots that exist, without reading any."""
-    return sum(walk(spark, r).count() for r in roots if os.path.isdir(r))
+    return walk_all(spark, roots).count()
 
 
 def changed(files: DataFrame, completed: DataFrame) -> DataFrame:

@@ -10,17 +10,26 @@ from tallyframe.operators.merge import Snapshots
 from tallyframe.sources.walk import file_digest, walk
 
 # Paths that a scan of a whole system leaves out.
-SYSTEM_PREFIXES = ("/proc", "/sys", "/dev", "/run")
+SYSTEM_PREFIXES = (
+    "/bin", "/boot", "/dev", "/etc", "/lib", "/lib32", "/lib64", "/proc", "/root", "/run", "/sbin", "/snap", "/sys", "/tmp", "/usr", "/var/lib/systemd",
+    "/srv/data/AppData", "/srv/data/docker", "/srv/data/containerd", "/DATA/raid/docker", "/var/log/containers", "/var/log/pods", "/var/lib/kubelet", "/var/lib/docker", "/var/lib/containerd",
+)
+
+
+def prefixes_for(root: str) -> tuple[str, ...]:
+    """The prefixes that lie below the root: one that the root itself is in was asked for."""
+    at = root.rstrip("/") + "/"
+    return tuple(p for p in SYSTEM_PREFIXES if not at.startswith(p + "/"))
 
 
 def sample(spark: SparkSession, root: str, n: int = 100) -> DataFrame:
     """The first files by path."""
-    return walk(spark, root, (), SYSTEM_PREFIXES).orderBy("path").limit(n)
+    return walk(spark, root, (), prefixes_for(root)).orderBy("path").limit(n)
 
 
 def index(spark: SparkSession, root: str, table: Snapshots) -> DataFrame:
     """Adds the files that the index does not have with the same time; the rest of the index stays."""
-    files = walk(spark, root, (), SYSTEM_PREFIXES).select("path", "size", "mtime", "mode", F.lit(0).cast("long").alias("ord"))
+    files = walk(spark, root, (), prefixes_for(root)).select("path", "size", "mtime", "mode", F.lit(0).cast("long").alias("ord"))
     table.merge(files, ["path"])
     return table.read()
 

@@ -46,6 +46,8 @@ def test_walk(spark, tree):
 def test_providers(spark, tree):
     root, _ = tree
     local = {os.path.basename(r.path): r for r in providers.scan(spark, str(root)).collect()}
+    lost = local.pop("broken")
+    assert json.loads(lost.metadata)["stat_error"] and lost.hash_algorithm == "fallback" and len(lost.blake3) == 64
     assert local["example.py"].category == "code" and local["example.py"].shortcut_allowed and local[".hidden"].category == "system" and local["noext"].category == "binary"
     assert len({r.uuid7 for r in local.values()}) == len(local) and {r.source_type for r in local.values()} == {"local"}
     drive = {os.path.basename(r.path): r for r in providers.scan_gdrive(spark, str(root)).collect()}
@@ -64,6 +66,21 @@ def test_providers(spark, tree):
     providers.register("mine", lambda s, t: s.range(3))
     assert "mine" in providers.providers() and providers.scan(spark, "mine").count() == 3
     del providers._SCANNERS["mine"]
+    wsl = providers.provider("wsl")
+    assert wsl.detect(spark, "/mnt/c/x") and not wsl.detect(spark, "/home") and wsl.metadata()["capabilities"] == ("scan",) and wsl.default_target() in (None, "/mnt/c")
+
+
+def test_walk_splits_deep_trees_and_tells_errors(spark, tmp_path):
+    at = tmp_path / "one"
+    for k in range(8):
+        (at / "only" / f"d{k}" / "e").mkdir(parents=True)
+        (at / "only" / f"d{k}" / "e" / "f.txt").write_text("x")
+    reader = walk.WalkReader({"root": str(at)})
+    assert len([p for p in reader.partitions() if p.deep]) == 0 and len(reader.partitions()) == 18  # each folder on its own
+    assert walk.walk(spark, str(at)).count() == 8 == walk.count_files(spark, [str(at), str(at / "only"), str(at)])
+    part = walk._Part(str(at / "gone"), True)
+    assert list(walk.WalkReader({"root": str(at), "errors": "true"}).read(part))[0][1] == "gone" and not list(reader.read(part))
+    assert stages.prefixes_for("/") == stages.SYSTEM_PREFIXES and "/tmp" not in stages.prefixes_for("/tmp/x") and "/usr" in stages.prefixes_for("/tmp/x")
 
 
 def script(path, body):
@@ -80,9 +97,15 @@ def test_ssh_and_rclone(spark, tmp_path):
     r = providers.scan_ssh(spark, "host", str(store), program=ssh).collect()
     assert len(r) == 1 and r[0].sha256 == hashlib.sha256(b"remote").hexdigest() and r[0].source == f"ssh://host{store}" and 0 < r[0].mode <= 0o777
     listing = json.dumps([{"Path": "a b.txt", "Size": 6, "IsDir": False}, {"Path": "d", "IsDir": True}])
-    rclone = script(tmp_path / "rclone", f"if [ \"$1\" = lsjson ]; then echo '{listing}'; else cat '{store}/a b.txt'; fi\n")
-    r = providers.scan_rclone(spark, "remote", "x", program=rclone).collect()
-    assert [(x.path, x.size, x.mtime, x.mode, x.blake3) for x in r] == [("a b.txt", 6, 0.0, 0, hashlib.sha256(b"remote").hexdigest())]
+    inner = json.dumps([{"Path": "e/c.txt", "Size": 6}, {"Path": "e", "IsDir": True}]).replace("}, {", "},\n{")
+    rclone = script(tmp_path / "rclone", f"if [ \"$1\" = lsjson ]; then case \"$2\" in *:x) echo '{listing}';; *) echo '{inner}';; esac; else cat '{store}/a b.txt'; fi\n")
+    r = sorted(providers.scan_rclone(spark, "remote", "x", program=rclone).collect(), key=lambda x: x.path)
+    assert [(x.path, x.size, x.mtime, x.mode, x.blake3) for x in r] == [(p, 6, 0.0, 0, hashlib.sha256(b"remote").hexdigest()) for p in ("a b.txt", "d/e/c.txt")]
+    (store / "in" / "deep").mkdir(parents=True)
+    (store / "in" / "deep" / "b.txt").write_bytes(b"remote")
+    assert sorted(os.path.basename(x.path) for x in providers.scan_ssh(spark, "host", str(store), program=ssh).collect()) == ["a b.txt", "b.txt"]
+    with pytest.raises(Exception, match="returned non-zero"):
+        providers.scan_ssh(spark, "host", "/no/such", program=script(tmp_path / "bad", "exit 3\n")).collect()
 
 
 def test_manifests(spark, tmp_path, tree):
