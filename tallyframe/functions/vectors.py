@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,24 +53,37 @@ def mean_unit(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame
     return whole.select(key, F.when(n == 0, F.col("m")).otherwise(F.transform("m", lambda x: x / n)).alias("embedding"))
 
 
-def byte_histogram(payload: Column, bins: int = 64) -> Column:
+class EmbeddingModel(Protocol):
+    def encode(self, payload: bytes, mime_type: str | None = None) -> Sequence[float]:
+        """A unit vector for a payload."""
+
+
+class ByteHistogram:
     """Byte values counted in bins, as a unit vector; zeros for an empty payload."""
-    if bins <= 0:
-        raise ValueError("bins must be positive")
 
-    @F.pandas_udf("array<double>")
-    def of(parts: pd.Series) -> pd.Series:
-        place = np.minimum(np.arange(256) * bins // 256, bins - 1)
+    def __init__(self, bins: int = 64):
+        if bins <= 0:
+            raise ValueError("bins must be positive")
+        self.bins = bins
+        self.place = np.minimum(np.arange(256) * bins // 256, bins - 1)
 
-        def one(b):
-            if b is None:
-                return None
-            h = np.bincount(place[np.frombuffer(b, np.uint8)], minlength=bins).astype(float)
-            n = np.sqrt((h * h).sum())
-            return h / n if n else h
+    def encode(self, payload: bytes, mime_type: str | None = None) -> np.ndarray:
+        h = np.bincount(self.place[np.frombuffer(payload, np.uint8)], minlength=self.bins).astype(float)
+        n = np.sqrt((h * h).sum())
+        return h / n if n else h
 
-        return parts.map(one)
 
-    return of(payload.cast("binary"))
+def encode(payload: Column, mime_type: Column, model: EmbeddingModel) -> Column:
+    """The model's vector of each payload; null for a null payload. The model goes to the workers once for a partition."""
+
+    @F.pandas_udf("array<double>")
+    def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, kinds in parts:
+            yield pd.Series([None if b is None else np.asarray(model.encode(bytes(b), k), float) for b, k in zip(bodies, kinds, strict=True)], dtype=object)
+
+    return of(payload.cast("binary"), mime_type)
 
 
+def byte_histogram(payload: Column, bins: int = 64) -> Column:
+    """Byte values counted in bins, as a unit vector; zeros for an empty payload."""
+    return encode(payload, F.lit(None).cast("string"), ByteHistogram(bins))

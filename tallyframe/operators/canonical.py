@@ -6,11 +6,13 @@ import hashlib
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.paths import canonical_path
 
@@ -58,3 +60,34 @@ def materialize(planned: DataFrame, shortcuts: bool = False) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "canonical_path", "status"])
 
     return planned.select("path", "digest", "canonical_path", "copied").mapInPandas(run, "path string, canonical_path string, status string")
+
+
+def call_hook(records: DataFrame, hook: Callable[[dict], object], isolate: bool = True) -> DataFrame:
+    """records with error: the hook (a function or a coroutine function) is called with each as a dict, in the tasks. isolate: what it raises is
+    kept as the record's error, else it ends the run. A task that is repeated calls it again, so it has to bear that."""
+    import asyncio
+    import inspect
+
+    schema = T.StructType([*records.schema.fields, T.StructField("error", T.StringType())])
+
+    def one(record: dict) -> str | None:
+        try:
+            out = hook(record)
+            if inspect.isawaitable(out):
+
+                async def wait() -> object:
+                    return await out
+
+                asyncio.run(wait())
+        except Exception as e:  # noqa: BLE001  whatever a hook raises is its record's error
+            if not isolate:
+                raise
+            return f"{type(e).__name__}: {e}"
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            errors = pa.array([one(r) for r in rows.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, errors], names=[*rows.schema.names, "error"])
+
+    return records.mapInArrow(run, schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,3 +72,13 @@ def reconcile(provider_id: str, snapshot: DataFrame, inventory: DataFrame) -> Da
     ours = last_by_key(ours, "source_id").select("source_id", F.col("content_hash").alias("ours"), F.lit(True).alias("here"))
     drift = F.when(F.col("there").isNull(), "missing_in_provider").when(F.col("here").isNull(), "missing_in_inventory").when(~F.col("theirs").eqNullSafe(F.col("ours")), "hash_mismatch")
     return theirs.join(ours, "source_id", "full_outer").select("source_id", drift.alias("drift")).where("drift is not null")
+
+
+def sync_provider(spark: SparkSession, provider_id: str, cursor: str | None, fetch_full: Callable[[str], tuple[DataFrame, str | None]], fetch_more: Callable[[str, str], tuple[DataFrame, str | None]]) -> DataFrame:
+    """One row (provider_id, strategy, event_count, new_cursor, duration_seconds) of a sync: what is after the cursor if there is one,
+    else everything. The fetches return events as a DataFrame, and the next cursor."""
+    began = time.perf_counter()
+    rows, new = fetch_more(provider_id, cursor) if cursor else fetch_full(provider_id)
+    n = rows.count()
+    took = round(time.perf_counter() - began, 6)
+    return spark.createDataFrame([(provider_id, "incremental" if cursor else "full", n, new, took)], "provider_id string, strategy string, event_count long, new_cursor string, duration_seconds double")
