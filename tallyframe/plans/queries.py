@@ -276,13 +276,15 @@ def chain_verify(spark, d):
 
 _NEAR = """with f as (select * from fingerprint),
 s as (select a.ord as a_ord, b.ord as b_ord, a.file_id as a, b.file_id as b, 0.7 * greatest(-1, least(1, list_cosine_similarity(a.embedding, b.embedding)))
-  + 0.3 * (1 - (2 * list_sum(list_transform(list_zip(a.ab, b.ab), lambda x: abs(x[1] - x[2]))) + list_sum(list_transform(list_zip(a.db, b.db), lambda x: abs(x[1] - x[2])))) / 192.0) as score from f a join f b on a.ord < b.ord)"""
+  + 0.3 * (1 - (list_sum(list_transform(list_zip(a.ab || a.db || a.pb, b.ab || b.db || b.pb), lambda x: abs(x[1] - x[2])))) / 192.0) as score from f a join f b on a.ord < b.ord)"""
 
 
-@query("""select file_id, list_aggregate(list_transform(range(16), lambda i: substr('0123456789abcdef', 8 * ab[4 * i + 1] + 4 * ab[4 * i + 2] + 2 * ab[4 * i + 3] + ab[4 * i + 4] + 1, 1)), 'string_agg', '') as a_hash,
- list_aggregate(list_transform(range(16), lambda i: substr('0123456789abcdef', 8 * db[4 * i + 1] + 4 * db[4 * i + 2] + 2 * db[4 * i + 3] + db[4 * i + 4] + 1, 1)), 'string_agg', '') as d_hash from fingerprint""")
+_HEX = "list_aggregate(list_transform(range(16), lambda i: substr('0123456789abcdef', 8 * {0}[4 * i + 1] + 4 * {0}[4 * i + 2] + 2 * {0}[4 * i + 3] + {0}[4 * i + 4] + 1, 1)), 'string_agg', '')"
+
+
+@query(f"select file_id, {_HEX.format('ab')} as a_hash, {_HEX.format('db')} as d_hash, {_HEX.format('pb')} as p_hash from fingerprint")
 def perceptual_hashes(spark, d):
-    return W.fingerprint(spark, d).select("file_id", "a_hash", "d_hash")
+    return W.fingerprint(spark, d).select("file_id", "a_hash", "d_hash", "p_hash")
 
 
 @query(_NEAR + " select a, b, round_even(score, 6) as score from s where score >= 0.45")

@@ -120,7 +120,7 @@ def sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as 8 by 8 grey images for the perceptual hashes; the third hash repeats the first, as SQL has no DCT."""
+    """Vectors as 8 by 8 grey images for the three perceptual hashes."""
     from tallyframe.functions import perceptual as P
 
     e = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
@@ -130,7 +130,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
     rows = rows.withColumn("m", matrix)
     return rows.select(
-        k.alias("ord"), F.concat(F.lit("f"), _pad(k)).alias("file_id"), F.concat(F.lit("c"), _pad(k)).alias("canonical_file_id"), P.ahash(F.col("m")).alias("a_hash"), P.dhash(F.col("m")).alias("d_hash"), P.ahash(F.col("m")).alias("p_hash"), "embedding"
+        k.alias("ord"), F.concat(F.lit("f"), _pad(k)).alias("file_id"), F.concat(F.lit("c"), _pad(k)).alias("canonical_file_id"), P.ahash(F.col("m")).alias("a_hash"), P.dhash(F.col("m")).alias("d_hash"), P.phash(F.col("m")).alias("p_hash"), "embedding"
     )
 
 
@@ -205,9 +205,12 @@ VIEWS_SQL = {
     "sync_state": f"""select 'p' || {_pad_sql('c_custkey')} as provider_id, case when c_custkey % 3 = 0 then 'cur' || c_custkey when c_custkey % 3 = 1 then '' end as cursor, case when c_acctbal < 0 then 'balance below zero' end as last_error,
       (c_custkey % 4)::int as retries from customer""",
     "pixels": "select vec_id, embedding::double[] as embedding, list_transform(embedding::double[], lambda v: greatest(0, least(255, floor((v + 1) * 127.5)))::int) as px from embeddings where vec_id is not null and embedding is not null",
-    "fingerprint": f"""select vec_id as ord, 'f' || {_pad_sql('vec_id')} as file_id, 'c' || {_pad_sql('vec_id')} as canonical_file_id, embedding, ab, db from (
+    "cosines": "select list_transform(range(8), lambda k: list_transform(range(32), lambda x: sqrt(case when k = 0 then 1 else 2 end / 32.0::double) * cos((2 * x + 1) * k * pi() / 64))) as c",
+    "frequencies": """select vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(32), lambda y: across[(y // 4) * 8 + i % 8 + 1] * c[i // 8 + 1][y + 1]))) as freq from (
+      select *, list_transform(range(64), lambda i: list_sum(list_transform(range(32), lambda x: px[(i // 8) * 8 + x // 4 + 1] * c[i % 8 + 1][x + 1]))) as across from pixels, cosines)""",
+    "fingerprint": f"""select vec_id as ord, 'f' || {_pad_sql('vec_id')} as file_id, 'c' || {_pad_sql('vec_id')} as canonical_file_id, embedding, ab, db, list_transform(freq, lambda v: (v >= list_sort(freq[2:])[32])::int) as pb from (
       select *, list_transform(px, lambda v: (64 * v >= list_sum(px))::int) as ab,
-        list_transform(range(64), lambda i: (px[(i // 8) * 8 + greatest(i % 8 - 1, 0) + 1] >= px[(i // 8) * 8 + i % 8 + 1])::int) as db from pixels)""",
+        list_transform(range(64), lambda i: (px[(i // 8) * 8 + greatest(i % 8 - 1, 0) + 1] >= px[(i // 8) * 8 + i % 8 + 1])::int) as db from pixels) join frequencies using (vec_id)""",
     "message": """select conv_id || '-' || turn as message_id, 'local' as source_platform, 'w0' as source_workspace, conv_id::varchar as source_channel, (turn % 7)::varchar as source_message_id, role, text as body_text, turn as ingested_at from conversations""",
 }
 
