@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot if it has over so many rows, and over a hundred-thousandth of all: there are never more hot keys than that.
@@ -65,3 +65,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if step.where("was <> component").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
+
+
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """df with its rows' places in an order, from 0. Rows are sorted by ranges and numbered within each; only the ranges' counts are summed in one task."""
+    rows = cut(df.orderBy(*order)).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    return rows.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.duplicates import by_size
+from tallyframe.operators.graph import numbered
 
 
 def throughput(total_bytes: Column, total_files: Column, seconds: Column) -> Column:
@@ -24,10 +25,10 @@ def throughput_summary(files: DataFrame, seconds: float) -> DataFrame:
 def duplicate_report(groups: DataFrame) -> DataFrame:
     """(line_no, line): a heading and a line per group, largest first; one line if there are none."""
     spark = groups.sparkSession
-    order = Window.orderBy(F.desc("n"), "first_ord")  # a report's lines have one order; groups that are reported are few
-    number = F.row_number().over(order)
+    groups = numbered(groups, F.desc("n"), "first_ord")
+    number = (F.col("number") + 1).cast("int")
     line = F.format_string("%d. hash=%s size=%d mime=%s instances=%d providers=[%s]", number, "content_hash", "size", "mime_type", "n", F.array_join(F.transform("providers", lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "))
-    body = groups.select((number + 1).cast("long").alias("line_no"), line.alias("line"))
+    body = groups.select((F.col("number") + 2).cast("long").alias("line_no"), line.alias("line"))
     some = groups.limit(1).select(F.lit(True).alias("some"))
     one = spark.range(1).join(some, F.lit(True), "left")
     head = one.select(F.when(F.col("some"), F.array(F.lit("Duplicate Groups"), F.lit("================"))).otherwise(F.array(F.lit("No duplicate groups detected."))).alias("h"))

@@ -57,12 +57,12 @@ def duplicate_members(spark, d):
     return duplicates.members(W.file_instance(spark, d)).select("instance_id", "n", "first_ord")
 
 
-@query("""with g as (select content_hash, size, mime_type, count(*) as n, min(ord) as first_ord, list_sort(list_distinct(list(provider))) as p from file_instance where deleted_at is null group by all having count(*) > 1 order by n desc, first_ord limit 25),
+@query("""with g as (select content_hash, size, mime_type, count(*) as n, min(ord) as first_ord, list_sort(list_distinct(list(provider))) as p from file_instance where deleted_at is null group by all having count(*) > 1),
 r as (select row_number() over (order by n desc, first_ord) as k, * from g)
 select k + 1 as line_no, k || '. hash=' || content_hash || ' size=' || size || ' mime=' || mime_type || ' instances=' || n || ' providers=[' || list_aggregate(list_transform(p, lambda x: '''' || x || ''''), 'string_agg', ', ') || ']' as line from r
 union all select k, case when (select count(*) from r) = 0 then 'No duplicate groups detected.' when k = 0 then 'Duplicate Groups' else '================' end from range(2) t(k) where k = 0 or (select count(*) from r) > 0""")
 def duplicate_report(spark, d):
-    return reporting.duplicate_report(reporting.largest_groups(duplicates.duplicate_groups(W.file_instance(spark, d)), 25))
+    return reporting.duplicate_report(duplicates.duplicate_groups(W.file_instance(spark, d)))
 
 
 # ---- classification and paths
