@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever it is stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def nested(df: DataFrame) -> Column:
     """A whole row as one column, so that names which an operator adds beside it can't clash with the input's."""
     return F.struct("*").alias("row") if df.columns else F.lit(None).alias("row")
