@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, mixing, quality, secrets, simhash
-from tallyframe.llm.common import cut, shared_folder, table, text_batches
+from tallyframe.llm.common import cut, remove, shared_folder, table, text_batches
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each but the last kept as Parquet in the shared folder."""
+    """The stages applied to documents, each but the last kept as Parquet in the shared folder, and removed once the next one is
+    written. The last of them stays, as the result reads it; it goes with the application's checkpoints."""
     docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            remove(spark, f"{at}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
