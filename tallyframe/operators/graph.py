@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it has over so many rows, and over a hundred-thousandth of all: there are never more hot keys than that.
 HOT_ROWS, HOT_KEYS = 200, 100_000
+#: Labels of no more nodes than this are broadcast.
+SMALL = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
     """The keys with so many rows that one task should not get them all; None if there are none."""
-    hot = cut(df.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows // HOT_KEYS)).select(key))
-    return None if hot.isEmpty() else hot
+    hot = df.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows // HOT_KEYS)).select(key)
+    return None if hot.isEmpty() else cut(hot)
 
 
 def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -44,23 +46,27 @@ def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame | None) ->
     return df.join(hot, key, "left_anti").join(found, key).unionByName(df.join(few, key))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) for the ends of edges (a, b); component is the smallest node that can be reached.
 
     Nodes take the smallest label around them and then their label's label, so a path of n nodes settles in about log n
     rounds. Only counts and emptiness tests reach the driver. Edges are kept first, so that both directions are of the same
-    ones. The hub of a star, and a label that many nodes have, are looked up by broadcast, so no task gets all their rows.
+    ones. Labels of up to `small` nodes are broadcast, so that no row is moved to look one up. Beyond, labels are joined, and what
+    the hub of a star, or a label that many nodes have, needs is broadcast on its own, so no task gets all their rows.
     """
     edges = cut(edges.select("a", "b"))
     arcs = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    rows = arcs.count()
-    hubs = hot_keys(arcs, "a", rows)
     labels = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
+    few = labels.count() <= small
+    rows = 0 if few else arcs.count()
+    hubs = None if few else hot_keys(arcs, "a", rows)
+    near = F.broadcast if few else lambda df: df
     for _ in range(rounds):
-        offered = look_up(arcs, "a", labels.withColumnRenamed("node", "a"), hubs).groupBy("b").agg(F.min("component").alias("offer"))
-        nearer = cut(labels.join(offered, F.col("node") == F.col("b")).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("label")))
+        offered = look_up(arcs, "a", near(labels.withColumnRenamed("node", "a")), hubs).groupBy("b").agg(F.min("component").alias("offer"))
+        nearer = labels.join(near(offered), F.col("node") == F.col("b")).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("label"))
+        nearer = nearer if few else cut(nearer)
         above = labels.select(F.col("node").alias("label"), F.col("component").alias("over"))
-        step = cut(look_up(nearer, "label", above, hot_keys(nearer, "label", rows)).select("node", "was", F.least("label", "over").alias("component")))
+        step = cut(look_up(nearer, "label", near(above), None if few else hot_keys(nearer, "label", rows)).select("node", "was", F.least("label", "over").alias("component")))
         labels = step.select("node", "component")
         if step.where("was <> component").isEmpty():
             return labels
