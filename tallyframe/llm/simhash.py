@@ -33,13 +33,13 @@ from tallyframe.llm.common import bounded, components, cut, forest, nested, tabl
 SEED = 42
 RING = 64
 #: Fingerprints that a bucket of one segment should have on average at most; beyond, buckets are of two segments.
-MEAN_BUCKET = 64
+MEAN_BUCKET = 2048
 #: What similar() takes unless told otherwise.
 SIMILARITY, SHINGLE, CANDIDATE_WORDS, CANDIDATE_BITS = 0.8, 5, 2, 9
 #: Texts whose sets meet in one comparison.
 SETS = 128
 #: Fingerprints of a bucket that are compared at once; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
+BLOCK = 2048
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = 256 * np.arange(8)
 

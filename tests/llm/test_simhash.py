@@ -168,6 +168,18 @@ def test_dense_buckets_and_blocks(spark):
     assert S.links(df, 3, block=16).count() <= 4 * 40 * len(fps)
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_components_with_hubs(spark, small, monkeypatch):
+    """Stars, a long path and a star whose hub is its largest node, with labels broadcast and joined, and with hot keys."""
+    from tallyframe.operators import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 20)
+    edges = [(0, k) for k in range(1, 60)] + [(1000, k) for k in range(900, 960)] + [(k, k + 1) for k in range(2000, 2070)] + [(59, 900), (3000, 3000)]
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    want = {k: 0 for k in [*range(60), 1000, *range(900, 960)]} | {k: 2000 for k in range(2000, 2071)} | {3000: 3000}
+    assert found == want
+
+
 def test_links_that_are_made_once(spark):
     """Links that come out as another spanning forest each time they are made give the same components."""
     from tallyframe.llm.common import components
