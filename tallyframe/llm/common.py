@@ -35,6 +35,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def one_by_one(counted: DataFrame, most: int = 4096) -> DataFrame:
+    """Each row as often as its count (rows) says, with k from 0: in steps, so that no array is longer than `most`."""
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {most}L"))))
+    return steps.withColumn("k", F.explode(F.sequence(F.col("step") * most, F.least(F.col("rows"), (F.col("step") + 1) * most) - 1)))
+
+
 def text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
     """df, after making sure that Arrow batches of whole texts stay small."""
     conf = df.sparkSession.conf

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, cut, nested, table
+from tallyframe.llm.common import bounded, cut, nested, one_by_one, table
 
 #: Documents that are ordered together; a block of over four times as many is dealt out.
 BLOCK_DOCS = 2_000
@@ -117,18 +117,12 @@ def draws(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None =
         (F.col("row_start") + F.sum("rows").over(inside) - F.col("rows")).alias("position"),
         (F.col("token_start") + F.sum(cost).over(inside) - cost).alias("spent"),
     )
-    each = _one_by_one(placed).withColumn("position", F.col("position") + F.col("k")).withColumn("spent", F.col("spent") + F.col("k") * F.col("tokens"))
+    each = one_by_one(placed).withColumn("position", F.col("position") + F.col("k")).withColumn("spent", F.col("spent") + F.col("k") * F.col("tokens"))
     return each.where("epoch < epochs or spent + tokens <= rest").select(
         "doc_id", "source", "tokens", "weight", F.col("epoch").cast("int").alias("epoch"), "position", ((F.col("epoch") * F.col("n") + F.col("spent")) / F.col("budget")).alias("progress")
     )
 
 
-def _one_by_one(counted: DataFrame, most: int = 4096) -> DataFrame:
-    """Each row as often as its count (rows) says, with k from 0: in steps, so that no array is longer than `most`."""
-    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {most}L"))))
-    return steps.withColumn("k", F.explode(F.sequence(F.col("step") * most, F.least(F.col("rows"), (F.col("step") + 1) * most) - 1)))
-
-
 def mixed(docs: DataFrame, drawn: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, each as often as it is drawn. Rows with null ids stay once."""
     times = drawn.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))

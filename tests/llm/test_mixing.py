@@ -80,5 +80,5 @@ def test_layout_does_not_matter(spark):
     for r in one:
         by[r[1], r[4]].append(r[5])
     assert all(len(set(p)) == len(p) for p in by.values())
-    assert [sorted(M._one_by_one(spark.createDataFrame([(n,)], "rows long"), 3).select("k").collect()) for n in (1, 3, 4, 10)] == [[(k,) for k in range(n)] for n in (1, 3, 4, 10)]
+    assert [sorted(M.one_by_one(spark.createDataFrame([(n,)], "rows long"), 3).select("k").collect()) for n in (1, 3, 4, 10)] == [[(k,) for k in range(n)] for n in (1, 3, 4, 10)]
     assert M.mixed(d, M.draws(d, None, None)).columns == d.columns

@@ -138,7 +138,7 @@ def test_wide_rings_against_all_pairs(spark):
     fps = sorted({int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 12)), replace=False))) for b in np.repeat(base, 12)})
     u = np.array(fps, np.uint64)
     df = spark.createDataFrame([(k, f) for k, f in enumerate(fps)], "node long, fp long")
-    for bits in (0, 1, 3, 5, 9, 11):
+    for bits in (0, 3, 9):
         i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u) <= bits, 1))
         want = S.forest(len(u), i, j)
         for segments in (1, 2) if bits else (1,):
