@@ -1,7 +1,12 @@
 """A training corpus from documents: quality, near-duplicates, secrets, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns
-of documents. Rows with null ids pass the near-duplicate and mixing stages as they are, as nothing can name them.
+of documents.
+
+Cases: rows with null ids pass the near-duplicate and mixing stages as they are, as nothing can name them. Null and empty texts pass the quality
+stage, are one group of near-duplicates, hold no secrets and no tokens, and so go in the mixing stage unless their id is null. Rows that repeat an id stay if
+their texts are not near-duplicates. Equal rows are copies: one stays. Very long texts are handled whole. Extra columns, whatever
+their names, go along up to the last stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations
