@@ -119,3 +119,23 @@ def file_shapes(nodes: DataFrame, edges: DataFrame, versions: DataFrame, shortcu
     out = nodes.join(of(edges, "source", "relationships", ["source", "target", "edge_type"]), "uuid7", "left")
     out = out.join(of(versions, "file_id", "versions", ["version_number", "id"]), "uuid7", "left").join(of(shortcuts, "file_id", "shortcuts", ["path", "target_path"]), "uuid7", "left")
     return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("relationships", "versions", "shortcuts")})
+
+
+def store_rows(records: DataFrame, batch_id: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """(store, shortcuts) that a batch of records (with ord) adds: one row for each record with a digest, (file_id, version_id, hash,
+    canonical_path, verified), and one for each of them that has a path and may have a shortcut, (file_id, version_id, shortcut_path,
+    target_path, shortcut_kind)."""
+    rows = records.where("blake3 is not null").select(
+        F.col("uuid7").alias("file_id"), F.sha2(F.concat_ws("/", F.lit(batch_id), F.col("ord").cast("string")), 256).alias("version_id"), F.col("blake3").alias("hash"), F.concat(F.lit(root.rstrip("/") + "/"), "blake3").alias("canonical_path"), "path", "shortcut_allowed", "ord"
+    )
+    store = rows.select("file_id", "version_id", "hash", "canonical_path", F.lit(True).alias("verified"), "ord")
+    some = rows.where("path is not null and shortcut_allowed")
+    return store, some.select("file_id", "version_id", F.col("path").alias("shortcut_path"), F.col("canonical_path").alias("target_path"), F.lit("symlink").alias("shortcut_kind"), "ord")
+
+
+def upsert_store(store: DataFrame, arriving: DataFrame) -> DataFrame:
+    return merge(store, arriving, ["canonical_path"])
+
+
+def upsert_shortcuts(shortcuts: DataFrame, arriving: DataFrame) -> DataFrame:
+    return merge(shortcuts, arriving, ["shortcut_path"])

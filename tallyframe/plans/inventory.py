@@ -373,3 +373,38 @@ def recorder_sessions(spark, d):
     log = e.select(F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at"), F.lit("lost").alias("detail"))
     out = chain.recorder_states(log)
     return out.select(F.col("session_id").cast("long").alias("user_id"), "state", "frame_count", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "starts")
+
+
+# ---- stores, ids, digests
+
+
+@query(f"""with {_DOCS}, d as (select *, row_number() over (partition by blake3 order by ord desc) as k from docs where blake3 is not null)
+select 'store' as kind, uuid7 as file_id, sha256('b1/' || ord) as version_id, '/store/' || blake3 as path, blake3 as target from d where k = 1
+union all select 'shortcut', uuid7, sha256('b1/' || ord), path, '/store/' || blake3 from (select * from docs where path is not null and blake3 is not null and ord % 2 = 0)""")
+def store_and_shortcuts(spark, d):
+    r = _records(spark, d).withColumn("shortcut_allowed", F.col("ord") % 2 == 0)
+    store, shortcuts = ingest.store_rows(r, "b1", "/store")
+    old = store.where("ord % 3 = 0").withColumn("file_id", F.lit("old")).drop("ord").dropDuplicates(["canonical_path"])
+    kept = ingest.upsert_store(old, store)
+    left = kept.select(F.lit("store").alias("kind"), "file_id", "version_id", F.col("canonical_path").alias("path"), F.col("hash").alias("target"))
+    again = ingest.upsert_shortcuts(shortcuts.drop("ord"), shortcuts)
+    return left.unionByName(again.select(F.lit("shortcut").alias("kind"), "file_id", "version_id", F.col("shortcut_path").alias("path"), F.col("target_path").alias("target")))
+
+
+@query("select count(*) as n, count(*) as ids, true as version_7, true as recent, true as in_form from events")
+def fresh_ids(spark, d):
+    """Ids of now are all different, and have the version, the time and the form that they should."""
+    from tallyframe.functions import ids
+
+    e = W.table(spark, d, "events").select(ids.uuid7(7).alias("id"))
+    age = F.unix_millis(F.current_timestamp()) - ids.id_millis(F.col("id"))
+    return e.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.substring("id", 15, 1) == "7").alias("version_7"), F.bool_and(age.between(-1000, 600_000)).alias("recent"), F.bool_and(F.regexp_like("id", F.lit("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))).alias("in_form"))
+
+
+@query(None)
+def quick_digests(spark, d):
+    """Digests that SQL has no function for; tests compare them with the library's."""
+    i = W.file_instance(spark, d)
+    both = digests.dual_digest(F.col("path"))
+    rows = i.select("ord", "path", "size", digests.quick_hash(F.col("path"), F.col("size"), F.col("ord")).alias("quick"), both.alias("b"))
+    return rows.select("ord", "path", "size", "quick", "b.algorithm", "b.digest", "b.sha256")

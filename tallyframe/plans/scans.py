@@ -257,3 +257,17 @@ def hooked_records(spark, d):
 def _refuse_fifths(record: dict) -> None:
     if record["n_nationkey"] % 5 == 0:
         raise ValueError("refused")
+
+
+@query("select n_nationkey::bigint as k, n_name as name from nation")
+def migrated_table(spark, d):
+    """Statements that create a table run twice, and change nothing the second time."""
+    at = _folder(spark)
+    name = f"nations_{at.rsplit('/', 1)[1]}"
+    ddl = [f"create table if not exists {name} (k long, name string) using parquet location 'file:{at}/t'"]
+    manifests.create_tables(spark, ddl)
+    W.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")).write.insertInto(name)
+    manifests.create_tables(spark, ddl)
+    rows = spark.read.parquet(f"file:{at}/t")
+    spark.sql(f"drop table {name}")  # its files stay
+    return rows

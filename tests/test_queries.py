@@ -23,7 +23,7 @@ def rows(columns, tuples):
     return sorted((tuple(round(t[i], 9) if isinstance(t[i], float) else t[i] for i in at) for t in tuples), key=str)
 
 
-@pytest.mark.parametrize("name", Q.QUERIES)
+@pytest.mark.parametrize("name", Q.SQL)
 def test_against_sql(spark, con, data, name):
     df = Q.QUERIES[name](spark, data)
     want = con.sql(Q.SQL[name])
@@ -31,6 +31,14 @@ def test_against_sql(spark, con, data, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
+def test_quick_digests(spark, data):
+    import hashlib
+
+    for r in Q.QUERIES["quick_digests"](spark, data).collect():
+        assert r.quick == hashlib.blake2b(f"{r.path}{r.size}{r.ord}".encode(), digest_size=16).hexdigest()
+        assert (r.algorithm, r.digest, r.sha256) == ("blake2b", hashlib.blake2b(r.path.encode(), digest_size=32).hexdigest(), hashlib.sha256(r.path.encode()).hexdigest())
+
+
 def test_entry_lists_them(spark):
     import __spark_entry__ as e
 
