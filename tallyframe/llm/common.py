@@ -68,3 +68,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of the links (src, dst); component is the smallest node reachable."""
     return graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b"))
+
+
+def by_component(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows joined with least, which has a row for each component, on component. A component may hold a third of all rows, so least is broadcast if it is
+    small enough, and otherwise what large components need is."""
+    least = cut(least)
+    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(least), "component")
+    rows = cut(rows)
+    return graph.look_up(rows, "component", least, graph.hot_keys(rows, "component", rows.count()))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, components, cut, forest, table
+from tallyframe.llm.common import bounded, by_component, components, cut, forest, table
 from tallyframe.llm.vectors import element, packed, unpacked, units
 
 #: Pivots: as many as the root of the number of vectors divided by 8, within these bounds.
@@ -162,7 +162,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     group = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     named = nodes.select("node", "first").join(group, "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    named = named.join(least, "component").select("node", "least")
+    named = by_component(named, least).select("node", "least")
     of_node = nodes.select("label", "digest", "node", "n", "first").join(links, "node", "left").join(named, "node", "left")
     of_node = of_node.select("label", "digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     linked = own.where(part).join(of_node, ["label", "digest"]).select("vec_id", "n_links", "component_id")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, components, cut, forest, nested, table, text_batches
+from tallyframe.llm.common import bounded, by_component, components, cut, forest, nested, table, text_batches
 
 SEED = 42
 RING = 64
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), bits)).withColumnRenamed("node", "fp")
     linked = distinct.join(found, "fp")
     first = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = linked.join(first, "component").select("fp", "component_id")
+    linked = by_component(linked, first).select("fp", "component_id")
     of_fp = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))  # so that the join can split a fingerprint's documents
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -315,10 +315,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = cut(texts.select("node", "fp", "component", shingles(F.col("text")).alias("shingles")).groupBy("node", "fp", "component").agg(F.first("shingles").alias("shingles")))
     dealt = _dealt(found, ["component"], sets).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
     group = components(dealt.mapInPandas(_compared(bits, similarity), "src long, dst long"))
-    of_node = nodes.join(group, "node", "left").select("h0", "h1", "first", F.coalesce("component", "node").alias("component"))
-    least = of_node.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "h0", "h1")).alias("least"))
-    joined = of_node.join(least, "component")
-    return joined.select("h0", "h1", "first", F.col("least.first").alias("component_id"), ((F.col("h0") == F.col("least.h0")) & (F.col("h1") == F.col("least.h1"))).alias("stays"))
+    linked = nodes.select("node", "h0", "h1", "first").join(group, "node")
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "h0", "h1")).alias("least"))
+    stays = (F.col("h0") == F.col("least.h0")) & (F.col("h1") == F.col("least.h1"))
+    named = by_component(linked, least).select("node", F.struct(F.col("least.first").alias("first"), stays.alias("stays")).alias("of"))
+    joined = nodes.select("node", "h0", "h1", "first").join(named, "node", "left")
+    single = F.col("of").isNull()
+    return joined.select("h0", "h1", "first", F.when(single, F.col("first")).otherwise(F.col("of.first")).alias("component_id"), F.when(single, F.lit(True)).otherwise(F.col("of.stays")).alias("stays"))
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -197,3 +197,17 @@ def test_links_that_are_made_once(spark):
     links = spark.range(0, 200, numPartitions=1).mapInPandas(star, "src long, dst long")
     for _ in range(4):
         assert {(r.node, r.component) for r in components(links).collect()} == {(k, k % 5) for k in range(200)}
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_by_component(spark, monkeypatch, most):
+    from tallyframe.llm import common
+    from tallyframe.operators import graph
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(graph, "HOT_ROWS", 30)
+    rows = spark.createDataFrame([(k, k % 7 if k % 2 else 0) for k in range(200)], "node long, component long")
+    least = rows.groupBy("component").agg(F.min("node").alias("least"))
+    got = {r.node: r.least for r in common.by_component(rows, least).collect()}
+    want = {k: min(x for x in range(200) if (x % 7 if x % 2 else 0) == (k % 7 if k % 2 else 0)) for k in range(200)}
+    assert got == want
