@@ -2,7 +2,7 @@
 
 A line is cut further at the ends of sentences and clauses, so that a passage is found inside a paragraph too, but for less than a
 clause at each end. Units are normalised (words in
-lower case, single spaces), hashed to 128 bits and grouped by digest over the whole corpus; the document with the smallest id keeps
+lower case, single spaces), hashed to 96 bits and grouped by digest over the whole corpus; the document with the smallest id keeps
 a unit, its first occurrence there, and every other occurrence is a repeat. Units are short and short ones
 repeat by chance, so only runs of neighbouring repeats with enough words together are removed; their places in the
 original text are what the operator returns.
@@ -31,7 +31,7 @@ from tallyframe.llm.secrets import redact
 LEAST_WORDS = 25
 _UNIT = re.compile(r"[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+")
 _WORD = re.compile(r"\w+")
-_SCHEMA = "doc_id long, version long, unit int, start int, end int, words int, again boolean, d0 long, d1 long"
+_SCHEMA = "doc_id long, version long, unit int, start int, end int, words int, again boolean, d0 long, d1 int"
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -63,7 +63,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.array(numbers, np.int64).reshape(-1, 5)
         d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         small = [pa.array(n[:, c].astype(np.int32)) for c in range(1, 5)]
-        columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(n[:, 0]), *small, pa.array(again, pa.bool_()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())]
+        columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(n[:, 0]), *small, pa.array(again, pa.bool_()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
