@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import ann, bpe, mixing, passages, pii, pivots, quality, secrets, sharding, simhash, suffixes
+from tallyframe.llm import ann, bpe, codes, mixing, negatives, passages, pii, pivots, quality, secrets, sharding, simhash, suffixes
 
-MODULES = (mixing, ann, bpe, passages, pii, pivots, quality, secrets, sharding, simhash, suffixes)
+MODULES = (mixing, ann, bpe, codes, negatives, passages, pii, pivots, quality, secrets, sharding, simhash, suffixes)
 
 
 def queries() -> dict:
