@@ -62,3 +62,10 @@ def progress_snapshots(rows: DataFrame, key: str, total: Column, order: list[str
 def latest(files: DataFrame, time: str, name: str) -> DataFrame:
     """The row with the latest time, the first by name among equals; none of an empty table."""
     return files.where(F.col(time).isNotNull()).orderBy(F.desc(time), name).limit(1)
+
+
+def totals(rows: DataFrame, sets: list[list[str]], *measures: Column) -> DataFrame:
+    """Measures for several groupings at once, from one pass over the rows: the grouped columns (null where a set leaves one out), the measures, and level, which has
+    a bit for each column that is left out, the first column's the highest."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*measures, F.grouping_id(*columns).alias("level"))

@@ -79,7 +79,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str], left_span: tu
         rows = df.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(key)), start.alias("_a"), end.alias("_b"), F.struct("*").alias(side)).where("_a < _b")
         return rows.where(" and ".join(f"_k{n} is not null" for n in range(len(key)))).withColumn("_level", F.ceil(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int"))
 
-    l, r = spans(left, left_span, "left"), spans(right, right_span, "right")
+    l, r = cut(spans(left, left_span, "left")), cut(spans(right, right_span, "right"))  # each is read three times
     levels = lambda df: sorted(x["_level"] for x in df.select("_level").distinct().collect())  # noqa: E731  64 numbers at most
 
     def posted(df: DataFrame, names: list[str], levels: list[int], strictly: bool) -> DataFrame:

@@ -407,4 +407,4 @@ def display_times(spark, d):
     return c.select("c_custkey", times.clock(F.col("s")).alias("clock"), times.progress(F.col("c_custkey") % 7, F.col("c_custkey")).alias("progress"))
 
 
-from tallyframe.plans import inventory, scans  # noqa: E402,F401  they register more queries
+from tallyframe.plans import history, inventory, scans  # noqa: E402,F401  they register more queries
