@@ -33,7 +33,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows where the text changed."""
-    found = secrets.scan(docs, secrets.default_model(spark, sf_dir))
+    found = secrets.scan_texts(docs, secrets.default_model(spark, sf_dir))
     some = F.size("spans") > 0
     new = {"text": F.when(some, F.col("hidden")).otherwise(F.col("row.text")), "n_chars": F.when(some, F.char_length("hidden").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))

@@ -4,9 +4,8 @@ Both models are first-order over ASCII characters, one of random strings and one
 labelled samples with additive smoothing. A token is a secret if the log-likelihood ratio of its transitions, in bits
 each, reaches a threshold. Everything runs as SQL functions inside one pass over the texts, without a shuffle.
 
-A text is cut into pieces of about PIECE characters at places where no match can lie across (SAFE), and each piece is searched on its
-own, so that the work grows in proportion to a text's length. A stretch without such a place, a long run of letters or
-spaces, stays one piece.
+Work grows in proportion to a text's length, whatever is in it: matches are walked once, in steps of STEP (scan), spans and tokens
+are merged in order of their start, and a text is rewritten in pieces of PIECE characters.
 
 Cases: a null text is empty and has no spans. Positions count code points, end exclusive. Rows are handled one by one,
 so repeated ids and rows stay as they are. The input's columns are nested in one, so their names don't matter. An empty
@@ -16,6 +15,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +29,8 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 #: What the Markov models look at: runs of so many characters at least.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Characters of a piece, and where pieces may end: after a line break, or after a space that follows none of what a space in an assignment can follow.
-PIECE = 4_000
-SAFE = r"""\n|(?<=[^\x20:="'DNTYdnty])\x20"""
+#: Elements that a walk gathers at once, so that no long array is copied for each of them; characters of a piece that is rewritten.
+STEP, PIECE = 64, 1_000
 #: Bits per transition by which the random model must be likelier.
 THRESHOLD = 0.9
 #: Ordinary words that identifiers are made of, in the languages of the corpus.
@@ -47,21 +46,61 @@ WORDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """A struct of state, after step(state, item) for each item in turn, and outs, what step gave for each (of type out).
+
+    An aggregate copies what it has gathered at each step. So a first walk gathers only the state before each STEP items, and a
+    second one, which starts from these, gathers what the items give, STEP at a time."""
+    none = F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, given = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.array_append(acc["outs"], given).alias("outs"))
+
+    def several(parts: Column) -> Column:
+        states = F.aggregate(parts, F.array(state), lambda known, part: F.array_append(known, F.aggregate(part, F.element_at(known, -1), lambda s, x: step(s, x)[0])))
+        gathered = lambda known: F.transform(parts, lambda part, k: F.aggregate(part, F.struct(F.get(known, k).alias("state"), none.alias("outs")), one)["outs"])
+        return let(states, lambda known: F.struct(F.element_at(known, -1).alias("state"), F.flatten(gathered(known)).alias("outs")))
+
+    def whole(all_items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / STEP).cast("int")), lambda k: F.slice(all_items, k * STEP + 1, STEP))
+        return F.when(F.size(all_items) > 0, let(parts, several)).otherwise(F.struct(state.alias("state"), none.alias("outs")))
+
+    return let(items, whole)
+
+
 def _found(text: Column, pattern: str, least: int, group: int = 0) -> Column:
     """Start, end and text of the pattern's matches whose group has the least length. Positions follow from the lengths of the
     matches and of what lies between them."""
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), part.alias("part"))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    kind = "struct<start:int,end:int,hit:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
-        spans = F.when(F.char_length(x["part"]) >= least, F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return end, F.when(F.char_length(x["part"]) >= least, F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
+
+    walked = scan(F.filter(parts, lambda x: x["hit"].isNotNull()), F.lit(0), step, kind)["outs"]
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(walked, lambda x: x.isNotNull())).otherwise(F.array().cast(f"array<{kind}>"))
 
-    walk = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(none)
+
+def _apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that no span overlaps. Both are laid in order of their start; walked forwards, a token meets spans that began before it and
+    still last, and walked backwards, spans that begin before it ends."""
+    kind = "struct<start:int,token:boolean,end:int,hit:string>"
+    marked = lambda items, token: F.transform(items, lambda x: F.struct(x["start"].alias("start"), F.lit(token).alias("token"), x["end"].alias("end"), (x["hit"] if token else F.lit(None).cast("string")).alias("hit")))
+    both = F.sort_array(F.concat(marked(spans, False), marked(tokens, True)))  # a span before a token at the same place
+    forwards = lambda last, x: (F.when(x["token"], last).otherwise(F.greatest(last, x["end"])), F.when(~x["token"] | (x["start"] >= last), x))
+    backwards = lambda next_, x: (F.when(x["token"], next_).otherwise(x["start"]), F.when(x["token"] & (x["end"] <= next_), x))
+    some = F.filter(scan(both, F.lit(0), forwards, kind)["outs"], lambda x: x.isNotNull())
+    clear = F.filter(scan(F.reverse(some), F.lit(2**31 - 1), backwards, kind)["outs"], lambda x: x.isNotNull())
+    return F.when(F.size(spans) == 0, tokens).otherwise(F.transform(F.reverse(clear), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))))
 
 
 def _kind(number: int, spans: Column) -> Column:
@@ -106,7 +145,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 def ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions; 0 for a single character. Tokens are ASCII."""
-    bits = F.expr("array(" + ",".join(f"{x}D" for x in model) + ")")
+    bits = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # a constant
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     walk = F.aggregate(
         F.split(token, ""),
@@ -116,47 +155,62 @@ def ratio(token: Column, model: list[float]) -> Column:
     return walk["sum"] / F.greatest(F.char_length(token) - 1, F.lit(1))
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Pieces of the text, each with the position (at) where it starts."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}(?:{SAFE})|.+?(?:{SAFE}|\\z)"), F.lit(0))
-    starts = F.aggregate(F.transform(pieces, F.char_length), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    return F.filter(F.arrays_zip(pieces.alias("text"), starts.alias("at")), lambda x: x["text"].isNotNull())
-
-
-def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]", piece: int = PIECE) -> DataFrame:
+def scan_texts(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """row (all columns of docs), base and spans (sorted arrays of (start, kind, end): the spans of fixed form, and all spans)
     and hidden (the text with a mark in place of what spans cover)."""
 
-    def spotted(c: Column) -> Column:
-        base = F.concat(_kind(0, _found(c["text"], ASSIGN, 12, 2)), _kind(1, _found(c["text"], ACCESS, 18)), _kind(2, _found(c["text"], HEX.replace("+", "{16,}"), 16)))
-        return F.struct(c["at"].alias("at"), c["text"].alias("text"), F.array_sort(base).alias("base"))
+    def spotted(text: Column) -> Column:
+        return F.sort_array(F.concat(_kind(0, _found(text, ASSIGN, 12, 2)), _kind(1, _found(text, ACCESS, 18)), _kind(2, _found(text, HEX.replace("+", "{16,}"), 16))))
 
-    def judged(c: Column) -> Column:
-        apart = F.filter(_found(c["text"], TOKEN, 1), lambda x: ~F.exists(c["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        likely = F.filter(apart, lambda x: ratio(x["hit"], model) >= threshold)
-        return F.struct(c["at"].alias("at"), c["text"].alias("text"), c["base"].alias("base"), F.array_sort(F.concat(c["base"], _kind(3, likely))).alias("spans"))
+    def judged(text: Column, base: Column) -> Column:
+        likely = F.filter(let(_found(text, TOKEN, 1), lambda tokens: F.when(F.size(tokens) > 0, _apart(tokens, base)).otherwise(tokens)), lambda x: ratio(x["hit"], model) >= threshold)
+        return F.sort_array(F.concat(base, _kind(3, likely)))
 
-    def placed(name: str) -> Column:
-        one = lambda c: F.transform(c[name], lambda x: F.struct((x["start"] + c["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + c["at"]).alias("end")))
-        return F.flatten(F.transform("pieces", one)).alias(name)
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(nested(docs))
+    found = rows.select("row", let(text, lambda t: let(spotted(t), lambda base: F.struct(base.alias("base"), judged(t, base).alias("spans")))).alias("found"))
+    return found.select("row", "found.base", "found.spans", redact(text, F.col("found.spans"), mark).alias("hidden"))
 
-    pieces = F.transform(F.transform(_pieces(F.coalesce(F.col(text_col), F.lit("")), piece), spotted), judged)
-    hidden = F.array_join(F.transform("pieces", lambda c: redact(c["text"], c["spans"], mark)), "")
-    return docs.select(nested(docs), pieces.alias("pieces")).select("row", placed("base"), placed("spans"), hidden.alias("hidden"))
+
+def merged(spans: Column) -> Column:
+    """Sorted spans without overlap; those that only touch stay apart."""
+    kind = "struct<start:int,end:int>"
+    span = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))
+
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        joins = x["start"] < open_["end"]
+        return F.when(joins, F.struct(open_["start"].alias("start"), F.greatest(open_["end"], x["end"].cast("int")).alias("end"))).otherwise(span(x)), F.when(~joins & (open_["end"] >= 0), open_)
+
+    walked = scan(spans, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")), step, kind)
+    return let(walked, lambda w: F.filter(F.array_append(w["outs"], w["state"]), lambda x: x["end"] >= 0))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with what the sorted spans cover replaced; overlapping spans are replaced once."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walk = F.aggregate(
-        spans,
-        start,
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(walk["out"], F.substring(text, walk["at"] + 1, F.char_length(text))))
+    """The text with what the sorted spans cover replaced; overlapping spans are replaced once. Each piece takes the spans that reach into it from where the one before
+    it stopped."""
+
+    def piece(cover: Column) -> Callable[[Column, Column], tuple[Column, Column]]:
+        def step(state: Column, own: Column) -> tuple[Column, Column]:
+            a, b = state["at"], state["at"] + F.char_length(own)
+            ahead = F.slice(cover, state["next"], PIECE + 2)
+
+            def rewritten(some: Column) -> Column:
+                def part(k: Column) -> Column:
+                    since = F.when(k == 0, a).otherwise(F.greatest(a, F.get(some, k - 1)["end"]))
+                    until = F.when(k < F.size(some), F.get(some, k)["start"]).otherwise(b)
+                    here = F.when((k < F.size(some)) & (F.get(some, k)["start"] >= a), F.lit(mark)).otherwise(F.lit(""))
+                    return F.concat(F.when(until > since, own.substr(since - a + 1, until - since)).otherwise(F.lit("")), here)
+
+                return F.when(F.size(some) == 0, own).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size(some)), part), ""))
+
+            passed = F.size(F.filter(ahead, lambda x: x["end"] <= b))
+            return F.struct(b.alias("at"), (state["next"] + passed).alias("next")), let(F.filter(ahead, lambda x: x["start"] < b), rewritten)
+
+        return step
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    walked = let(merged(spans), lambda cover: F.array_join(scan(pieces, F.struct(F.lit(0).alias("at"), F.lit(1).alias("next")), piece(cover), "string")["outs"], ""))
+    return F.when(F.size(spans) == 0, text).otherwise(walked)
 
 
 def default_model(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -164,7 +218,7 @@ def default_model(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model(spark, sf_dir)).select("row.doc_id", "base", "spans")
+    found = scan_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model(spark, sf_dir)).select("row.doc_id", "base", "spans")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
