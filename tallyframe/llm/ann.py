@@ -1,16 +1,19 @@
 """Nearest neighbours by learned partitions.
 
 From a bounded sample of distinct vectors the graph of nearest neighbours is cut into parts of equal size, moving vectors to
-the part that most of their neighbours are in, within a capacity. A small network learns the parts in which a vector's
+the part that most of their neighbours are in, within a capacity. A small network, the router, learns the parts in which a vector's
 neighbours lie. It puts every vector of the table in its likeliest part and sends a query to its likeliest parts, as many
 as hold the wanted share of neighbours on held-out vectors of the sample, and more if these hold fewer rows than asked for.
 The parts that a query goes to are searched whole, and the best are merged and ranked by exact inner products.
 
-Tasks hold bins of rows: several small parts, or a piece of a large one. A row is shuffled once for each QUERIES_A_BLOCK
-queries of the table and a query once for each bin that it visits, so with up to that many queries the shuffle grows with the rows.
+Parts grow with the root of the table: one that is larger is cut again in the same way, by a router of its own that a task fits on a bounded sample of its
+rows. So a tree has two levels and up to MOST_PARTS * MOST_PARTS leaves, and its routers, which are broadcast, some 25 MB at most.
 
-Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id, nor
-vectors of another length than most have. Copies are candidates of their own; ties go to the smaller id. A query does not
+Tasks hold bins of rows: several small leaves, or a piece of a large one. A query is shuffled once for each bin that it visits, and a row once for each
+QUERIES_A_BLOCK queries that visit its bin: once, as long as a bin's queries are no more than that, whatever the size of the table.
+
+Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id. Vectors of different lengths have no inner product:
+a query finds rows of its own length, and lengths rarer than the commonest have one leaf each, which their queries search whole. Copies are candidates of their own; ties go to the smaller id. A query does not
 find its own row but finds other rows of its id; each row that asks has a list of its own, also if ids repeat. Fewer candidates
 than asked for: all are returned, as every part is then searched. An empty table gives an empty result. Only the id and the
 vector are read, so other columns don't matter.
@@ -18,6 +21,7 @@ vector are read, so other columns don't matter.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import cut, table
 from tallyframe.llm.vectors import element, packed, unpacked
 
-#: Parts grow with the table between these bounds, so that one holds about so many rows until there are MOST_PARTS.
+#: Parts of a level grow with the table between these bounds. A leaf has about PART_ROWS rows, or the root of the table's if that is more.
 PARTS, MOST_PARTS, PART_ROWS = 32, 128, 4096
-#: The bound on the sample that the partition and the network are fitted on, for each part.
+#: The bound on the sample that a partition and its router are fitted on, for each part.
 SAMPLE = 190
 NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 20, 128, 40, 0.94
 #: Rows of the table, and queries, that meet in one task; the fewest bins, so that small tables use several cores.
@@ -117,13 +121,15 @@ class Router:
         return np.argsort(-self._forward(x)[2], axis=1, kind="stable").astype(np.int32)
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, recall: float = RECALL, seed: int = 3) -> tuple[Router | None, int]:
-    """The router and how many parts a query goes to. None for samples too small to cut."""
+def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, recall: float = RECALL, seed: int = 3, asked: np.ndarray | None = None) -> tuple[Router | None, int]:
+    """The router and how many parts a query goes to. None for samples too small to cut. asked: queries to measure recall on, else some of the sample are held out."""
     rng = np.random.default_rng(seed)
     if len(sample) < 8 * parts:
         return None, 1
-    held = rng.permutation(len(sample))
-    asked, rows = sample[held[: len(sample) // 8]], sample[held[len(sample) // 8 :]]
+    rows = sample
+    if asked is None or not len(asked):
+        held = rng.permutation(len(sample))
+        asked, rows = sample[held[: len(sample) // 8]], sample[held[len(sample) // 8 :]]
     near = _nearest(rows, rows, k, True)
     part = balanced_parts(near, parts, rng)
     target = np.full((len(rows), parts), 0.01 / parts)
@@ -171,13 +177,64 @@ def _best(dtype: str, k: int):
     return of
 
 
-def _bins(rows_of: dict[int, int], parts: int, block: int) -> tuple[list[int], list[int], int]:
-    """The first bin of each part, how many bins it has, and the number of bins. Small parts share one."""
-    most = min(block, max(1, -(-sum(rows_of.values()) // LEAST_BINS)))
-    first, several, now, filled = [0] * parts, [1] * parts, 0, 0
-    for p in range(parts):
-        n = rows_of.get(p, 0)
-        if n > block or filled + n > most and filled:
+class Tree:
+    """Leaves by router: a part is a leaf, or is cut by a router of its own into several. Rarer lengths (in bytes) have a leaf each, behind the others."""
+
+    def __init__(self, router: Router | None, probes: int, parts: int, length: int, dtype: str, below: dict[int, tuple[Router, int, int]] | None = None, rarer: tuple[int, ...] = ()):
+        self.router, self.probes, self.length, self.dtype, self.below = router, probes, length, dtype, below or {}
+        ways = np.array([self.below[p][2] if p in self.below else 1 for p in range(parts)])
+        self.first = np.r_[0, np.cumsum(ways)]
+        self.rarer = {n: int(self.first[-1]) + k for k, n in enumerate(rarer)}
+
+    def leaves(self) -> int:
+        return int(self.first[-1]) + len(self.rarer)
+
+    def _parts(self, x: np.ndarray) -> np.ndarray:
+        return self.router.parts(x) if self.router else np.zeros((len(x), 1), np.int32)
+
+    def _common(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = vectors.map(len).to_numpy(np.int64)
+        at = np.flatnonzero(size == self.length)
+        return size, at, unpacked(vectors.iloc[at], self.dtype) if len(at) else np.zeros((0, 1))
+
+    def put(self, vectors: pd.Series) -> np.ndarray:
+        """The leaf of each vector."""
+        size, at, x = self._common(vectors)
+        out = np.array([self.rarer.get(int(n), 0) for n in size], np.int32)
+        if len(at):
+            part = self._parts(x)[:, 0]
+            leaf = self.first[part]
+            for p in set(part.tolist()) & self.below.keys():
+                own = np.flatnonzero(part == p)
+                leaf[own] += self.below[p][0].parts(x[own])[:, 0]
+            out[at] = leaf
+        return out
+
+    def visits(self, vectors: pd.Series, rows_of: np.ndarray, k: int) -> list[np.ndarray]:
+        """The leaves that each query goes to: of its likeliest parts the likeliest leaves, and more until they have more than k rows."""
+        size, at, x = self._common(vectors)
+        out = [np.array([self.rarer[int(n)]] if int(n) in self.rarer else [], np.int32) for n in size]
+        if not len(at):
+            return out
+        parts = self._parts(x)
+        inner = {p: self.below[p][0].parts(x) for p in np.unique(parts[:, : self.probes]).tolist() if p in self.below}
+        for row, q in enumerate(at):
+            mine = np.concatenate([self.first[p] + inner[p][row, : self.below[p][1]] if p in inner else self.first[p : p + 1] for p in parts[row, : self.probes]])
+            if rows_of[mine].sum() <= k:
+                rest = np.concatenate([np.arange(self.first[p], self.first[p + 1]) for p in parts[row]])
+                rest = rest[~np.isin(rest, mine)]
+                mine = np.concatenate([mine, rest[: np.searchsorted(rows_of[mine].sum() + np.cumsum(rows_of[rest]), k, "right") + 1]])
+            out[q] = mine.astype(np.int32)
+        return out
+
+
+def _bins(rows_of: list[int], common: int, block: int) -> tuple[list[int], list[int], int]:
+    """The first bin of each leaf, how many bins it has, and the number of bins. Small leaves share one, but for those of rarer lengths (from `common` on)."""
+    leaves = len(rows_of)
+    most = min(block, max(1, -(-sum(rows_of) // LEAST_BINS)))
+    first, several, now, filled = [0] * leaves, [1] * leaves, 0, 0
+    for p, n in enumerate(rows_of):
+        if n > block or filled + n > most and filled or p >= common and filled:
             now, filled = now + (filled > 0), 0
         first[p], several[p] = now, max(1, -(-n // block))
         if n > block:
@@ -195,47 +252,100 @@ def _sampled(base: DataFrame, rows: int, most: int, dtype: str) -> np.ndarray:
     return unpacked(pd.Series([bytes(r["vector"]) for r in picked]), dtype) if picked else np.zeros((0, 1))
 
 
-def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, parts: int | None = None, recall: float = RECALL, block: int = BLOCK, together: int = QUERIES_A_BLOCK) -> DataFrame:
+def _below(base: DataFrame, tree: Tree, sample: np.ndarray, leaf_rows: int, k: int, recall: float) -> dict[int, tuple[Router, int, int]]:
+    """For each part with more than twice leaf_rows rows a router, how many of its leaves a query goes to, and how many there are. A task fits one on
+    a bounded sample of the part's rows, and measures on vectors of the first sample that go there."""
+    held = base.sparkSession.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("int")
+    def part_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in parts:
+            yield pd.Series(held.value.put(vectors))
+
+    placed = base.withColumn("part", part_of("vector"))
+    ways = {r["part"]: min(MOST_PARTS, -(-r["count"] // leaf_rows)) for r in placed.groupBy("part").count().where(F.col("count") > 2 * leaf_rows).collect()}  # a row for each part
+    if not ways:
+        return {}
+    count = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.approx_count_distinct("vector").alias("n")).collect()}
+    order = F.xxhash64(F.lit(9), "vector")
+    share = F.element_at(F.create_map(*(x for p, w in ways.items() for x in (F.lit(p), F.lit(min(1.0, 2 * SAMPLE * w / max(1, count[p])))))), F.col("part"))
+    few = placed.where(F.col("part").isin(*ways) & (F.shiftrightunsigned(order, 12) <= share * float(2**52)))
+    distinct = few.groupBy("part", order.alias("h")).agg(F.first("vector").alias("vector"))
+    goes = tree.router.parts(sample)[:, : tree.probes]
+    asked = base.sparkSession.sparkContext.broadcast((sample, goes))
+    dtype = tree.dtype
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        p = int(rows["part"].iloc[0])
+        own = unpacked(rows.sort_values("h")["vector"].iloc[: SAMPLE * ways[p]], dtype)
+        some, to = asked.value
+        router, probes = fit(own, ways[p], k, recall, asked=some[(to == p).any(axis=1)][:2000])
+        return pd.DataFrame({"part": [p], "probes": [probes], "router": [pickle.dumps(router)]})
+
+    made = distinct.groupBy("part").applyInPandas(fitted, "part int, probes int, router binary").collect()  # MOST_PARTS rows at most
+    routers = {r["part"]: (pickle.loads(r["router"]), r["probes"], ways[r["part"]]) for r in made}
+    return {p: x for p, x in routers.items() if x[0] is not None}
+
+
+def _dealt(kept: DataFrame, asked: DataFrame, size: list[int], common: int, block: int, together: int) -> tuple[DataFrame, DataFrame]:
+    """Queries (with the leaves that they visit in the bin) and rows by bin and chunk. Queries of a bin are cut into chunks of about `together`, and
+    the bin's rows go to each chunk."""
+    first, several, bins = _bins(size, common, block)
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # noqa: E731  a constant
+    begin, stop, ways = numbers(first), numbers([a + n - 1 for a, n in zip(first, several, strict=True)]), numbers(several)
+    own = lambda p: F.sequence(F.element_at(begin, p + 1), F.element_at(stop, p + 1))
+    left = asked.withColumn("bin", F.explode(F.array_distinct(F.flatten(F.transform("to", own)))))
+    left = cut(left.withColumn("to", F.filter("to", lambda p: (F.element_at(begin, p + 1) <= F.col("bin")) & (F.col("bin") <= F.element_at(stop, p + 1)))))
+    chunks = [1] * bins
+    for r in left.groupBy("bin").count().collect():  # a row for each bin
+        chunks[r["bin"]] = max(1, -(-r["count"] // together))
+    of_bin = lambda: F.element_at(numbers(chunks), F.col("bin") + 1)
+    left = left.withColumn("chunk", F.pmod(F.xxhash64(F.lit("q"), "uid"), of_bin()).cast("int"))
+    mine = F.element_at(begin, F.col("leaf") + 1) + F.pmod(F.xxhash64(F.lit("b"), "uid"), F.element_at(ways, F.col("leaf") + 1)).cast("int")
+    right = kept.withColumn("bin", mine).select("uid", "vec_id", "vector", F.col("leaf").alias("part"), "bin", F.explode(F.sequence(F.lit(0), of_bin() - 1)).alias("chunk"))
+    return left, right
+
+
+def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, parts: int | None = None, recall: float = RECALL, block: int = BLOCK, together: int = QUERIES_A_BLOCK, leaf_rows: int | None = None) -> DataFrame:
     """query_id, rank from 1, vec_id, score. queries: by default the rows whose id is divisible by `every`."""
     dtype = element(rows, vector_col)
     pack = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), packed(F.col(vector_col), dtype).alias("vector")).where("vec_id is not null and vector is not null")
     every_row = cut(pack(rows))
-    most = every_row.groupBy(F.length("vector").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    of_length = F.length("vector") == (most["bytes"] if most else 0)
-    base, total = every_row.where(of_length), most["count"] if most else 0
+    lengths = every_row.groupBy(F.length("vector").alias("bytes")).count().orderBy(F.desc("count"), "bytes").collect()  # a row for each length
+    length, total = (lengths[0]["bytes"], lengths[0]["count"]) if lengths else (0, 0)
+    base = every_row.where(F.length("vector") == length)
+    leaf_rows = leaf_rows or max(PART_ROWS, int(total**0.5))
     parts = parts or max(PARTS, min(MOST_PARTS, 1 << max(0, total // PART_ROWS).bit_length() - 1 if total >= PART_ROWS else 1))
-    router, probes = fit(_sampled(base, total, SAMPLE * parts, dtype), parts, k, recall)
-    if router is None:
-        parts = 1
-    held = base.sparkSession.sparkContext.broadcast(router)
+    deep = total > 2 * leaf_rows * parts
+    each = recall**0.5 if deep else recall  # two levels miss neighbours independently
+    sample = _sampled(base, total, SAMPLE * parts, dtype)
+    router, probes = fit(sample, parts, k, each)
+    tree = Tree(router, probes, parts if router else 1, length, dtype)
+    below = _below(base, tree, sample, leaf_rows, k, each) if deep and router else {}
+    tree = Tree(router, probes, parts if router else 1, length, dtype, below, tuple(r["bytes"] for r in lengths[1:]))
+    held = base.sparkSession.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("int")
+    def leaf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in parts:
+            yield pd.Series(held.value.put(vectors))
+
+    kept = cut(every_row.select("vec_id", "vector", leaf("vector").alias("leaf"), F.monotonically_increasing_id().alias("uid")))
+    size = [0] * tree.leaves()
+    for r in kept.groupBy("leaf").count().collect():  # a row for each leaf
+        size[r["leaf"]] = r["count"]
+    rows_of = base.sparkSession.sparkContext.broadcast(np.array(size))
 
     @F.pandas_udf("array<int>")
-    def routed(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in vectors:
-            if held.value is None or not len(part):
-                yield pd.Series([np.zeros(1, np.int32)] * len(part))
-            else:
-                yield pd.Series(list(held.value.parts(unpacked(part, dtype))))
-
-    asks = F.lit(queries is None) & (F.col("vec_id") % every == 0)
-    kept = cut(base.withColumn("parts", routed("vector")).select("vec_id", "vector", F.col("parts")[0].alias("part"), F.when(asks, F.col("parts")).alias("to"), F.monotonically_increasing_id().alias("uid")))
+    def visits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in parts:
+            yield pd.Series(held.value.visits(vectors, rows_of.value, k), dtype=object)
+
     if queries is None:
-        asked = kept.where("to is not null").select("uid", "vec_id", "vector", "to")
+        asked = kept.where(F.col("vec_id") % every == 0).select("uid", F.col("vec_id").alias("query_id"), "vector", visits("vector").alias("to"))
     else:
-        asked = pack(queries).where(of_length).select((-1 - F.monotonically_increasing_id()).alias("uid"), "vec_id", "vector", routed("vector").alias("to"))
-    asked = cut(asked.withColumnRenamed("vec_id", "query_id"))
-    size = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}  # a row for each part
-    first, several, _ = _bins(size, parts, block)
-    chunks = max(1, -(-asked.count() // together))
-    numbers = lambda values: F.array(*map(F.lit, values))
-    count, begin, stop = numbers([size.get(p, 0) for p in range(parts)]), numbers(first), numbers([a + n - 1 for a, n in zip(first, several, strict=True)])
-    enough = F.aggregate("to", F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("n")), lambda acc, p: F.struct((acc["rows"] + F.element_at(count, p + 1)).cast("long").alias("rows"), (acc["n"] + F.when(acc["rows"] <= k, 1).otherwise(0)).alias("n")))["n"]
-    left = asked.withColumn("to", F.slice("to", 1, F.greatest(F.lit(probes), enough)))
-    bins = F.array_distinct(F.flatten(F.transform("to", lambda p: F.sequence(F.element_at(begin, p + 1), F.element_at(stop, p + 1)))))
-    left = left.select("uid", "query_id", "vector", "to", F.pmod(F.xxhash64(F.lit("q"), "uid"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(bins).alias("bin"))
-    left = left.withColumn("to", F.filter("to", lambda p: (F.element_at(begin, p + 1) <= F.col("bin")) & (F.col("bin") <= F.element_at(stop, p + 1))))
-    mine = F.element_at(begin, F.col("part") + 1) + F.pmod(F.xxhash64(F.lit("b"), "uid"), F.element_at(numbers(several), F.col("part") + 1)).cast("int")
-    right = kept.select("uid", "vec_id", "vector", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), mine.alias("bin"))
+        asked = pack(queries).select((-1 - F.monotonically_increasing_id()).alias("uid"), F.col("vec_id").alias("query_id"), "vector", visits("vector").alias("to"))
+    left, right = _dealt(kept, cut(asked), size, tree.leaves() - len(tree.rarer), block, together)
     key = ["chunk", "bin"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best(dtype, k), "asker long, query_id long, vec_id long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")

@@ -9,10 +9,12 @@ from tallyframe.llm import ann as A
 def brute(rows, k, every=20):
     """(query_id, its neighbours) for each row that asks."""
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
-    most = max((len(v) for _, v in ok), key=[len(v) for _, v in ok].count, default=0)
-    ok = [(i, v) for i, v in ok if len(v) == most]
-    m = np.array([v for _, v in ok]).reshape(len(ok), most)
-    return sorted((q, sorted((-(float(s)), i) for j, (s, (i, _)) in enumerate(zip((m * x).sum(axis=1), ok, strict=True)) if j != own)[:k]) for own, (q, x) in enumerate(ok) if q % every == 0)
+    out = []
+    for n in {len(v) for _, v in ok}:
+        same = [(i, v) for i, v in ok if len(v) == n]
+        m = np.array([v for _, v in same])
+        out += [(q, sorted((-(float(s)), i) for j, (s, (i, _)) in enumerate(zip((m * x).sum(axis=1), same, strict=True)) if j != own)[:k]) for own, (q, x) in enumerate(same) if q % every == 0]
+    return sorted(x for x in out if x[1])
 
 
 def got(df):
@@ -27,8 +29,8 @@ def got(df):
     return out
 
 
-def recall(df):
-    found, want = dict(got(A.search(df))), dict(brute([(r.vec_id, r.embedding) for r in df.collect()], 20))
+def recall(df, **more):
+    found, want = dict(got(A.search(df, **more))), dict(brute([(r.vec_id, r.embedding) for r in df.collect()], 20))
     assert found.keys() == want.keys() and all(len(x) == 20 for x in found.values())
     exact = {(q, i): s for q in want for s, i in want[q]}
     assert all(abs(exact[q, i] - s) < 1e-12 for q in found for s, i in found[q] if (q, i) in exact)
@@ -46,6 +48,39 @@ def test_recall_on_a_larger_table(spark, noise=0.8):
     v[rng.random(20_000) < 0.2] = v[7]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v.astype(np.float32))], "vec_id long, embedding array<float>").where("vec_id <= 4000 or vec_id % 20 > 0")
     assert recall(df) >= 0.9
+    assert recall(df, parts=8, leaf_rows=300) >= 0.9  # two levels of parts
+
+
+def clustered(spark, n, dim=32):
+    rng = np.random.default_rng(21)
+    v = 3 * rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, dim))
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v.astype(np.float32))], "vec_id long, embedding array<float>")
+
+
+def test_rows_are_moved_once_and_visits_follow_the_table(spark, monkeypatch):
+    """On a table of five times the rows, rows are still moved once, and queries with their visits grow as the table does."""
+    moved = {}
+    dealt = A._dealt
+
+    def counted(*args):
+        left, right = dealt(*args)
+        moved[n] = (left.count(), right.count())
+        return left, right
+
+    monkeypatch.setattr(A, "_dealt", counted)
+    for n in (3_000, 15_000):
+        A.search(clustered(spark, n), leaf_rows=max(100, int(n**0.5)))
+    assert [moved[n][1] for n in moved] == [3_000, 15_000]
+    assert moved[15_000][0] <= 1.6 * 5 * moved[3_000][0]
+
+
+def test_queries_of_a_bin_are_cut_into_chunks(spark):
+    kept = spark.range(100).selectExpr("id as uid", "id as vec_id", "binary('x') as vector", "int(id % 2) as leaf")
+    asked = spark.range(50).selectExpr("id as uid", "id as query_id", "binary('x') as vector", "if(id < 40, array(0), array(0, 1)) as to")
+    left, right = A._dealt(kept, asked, [50, 50], 2, 60, 20)
+    bins = {r["part"]: r["bin"] for r in right.select("part", "bin").distinct().collect()}
+    assert left.count() == 60 and len(bins) == 2
+    assert {r["bin"]: r["n"] for r in right.groupBy("bin").agg({"chunk": "count"}).withColumnRenamed("count(chunk)", "n").collect()} == {bins[0]: 150, bins[1]: 50}
 
 
 def test_clusters_need_few_parts():
@@ -95,6 +130,8 @@ def test_queries_of_their_own(spark):
 
 
 def test_bins():
-    first, several, n = A._bins({0: 10, 1: 200, 2: 5, 3: 5, 5: 90}, 6, 100)
+    first, several, n = A._bins([10, 200, 5, 5, 0, 90], 6, 100)
     spans = [set(range(a, a + m)) for a, m in zip(first, several, strict=True)]
     assert len(spans[1]) == 2 and not spans[1] & set().union(*(s for p, s in enumerate(spans) if p != 1)) and max(map(max, spans)) < n
+    first, several, n = A._bins([3, 3, 3, 3], 2, 100)
+    assert len({*first[2:], first[0]}) == 3 and n == 3 + (first[1] != first[0])
