@@ -82,3 +82,18 @@ def sync_provider(spark: SparkSession, provider_id: str, cursor: str | None, fet
     n = rows.count()
     took = round(time.perf_counter() - began, 6)
     return spark.createDataFrame([(provider_id, "incremental" if cursor else "full", n, new, took)], "provider_id string, strategy string, event_count long, new_cursor string, duration_seconds double")
+
+
+def sync_providers(states: DataFrame, fetch_full: Callable[[DataFrame], tuple[DataFrame, DataFrame]], fetch_more: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(provider_id, strategy, event_count, new_cursor) for each of states (provider_id, cursor): many providers as one job. A fetch gets the providers that are its and gives
+    their events and their next cursors (provider_id, new_cursor); a provider without events has a count of 0, one without a next cursor keeps its own."""
+    marked = states.select("provider_id", "cursor", strategy(F.col("cursor")).alias("strategy"))
+    out = None
+    for name, fetch in (("full", fetch_full), ("incremental", fetch_more)):
+        own = marked.where(F.col("strategy") == name)
+        events, cursors = fetch(own.select("provider_id", "cursor"))
+        counted = events.groupBy("provider_id").agg(F.count("*").alias("event_count"))
+        rows = own.join(counted, "provider_id", "left").join(cursors.select("provider_id", "new_cursor"), "provider_id", "left")
+        rows = rows.select("provider_id", "strategy", F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"), F.coalesce("new_cursor", "cursor").alias("new_cursor"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.ids import embed_text
+from tallyframe.operators.graph import numbered
 from tallyframe.operators.merge import merge
 from tallyframe.operators.versions import next_numbers
 from tallyframe.plans.schemas import RECORD_KEYS
@@ -23,6 +24,11 @@ def ordered(records: DataFrame) -> DataFrame:
     return records.orderBy(F.coalesce("uuid7", F.lit("")), F.coalesce("path", F.lit("")))
 
 
+def placed(records: DataFrame) -> DataFrame:
+    """records with their place in that order, from 0, for inventories of any size."""
+    return numbered(records, F.coalesce("uuid7", F.lit("")), F.coalesce("path", F.lit("")), name="place")
+
+
 def good(records: DataFrame) -> DataFrame:
     return records.where(F.size(missing_keys()) == 0)
 

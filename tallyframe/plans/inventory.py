@@ -206,9 +206,9 @@ def ingest_dry_run(spark, d):
     return ingest.dry_run(_records(spark, d))
 
 
-@query(f"with {_DOCS} select uuid7, path from docs order by coalesce(uuid7, ''), coalesce(path, '') limit 60")
+@query(f"with {_DOCS} select uuid7, path, row_number() over (order by coalesce(uuid7, ''), coalesce(path, '')) - 1 as place from docs")
 def manifest_order(spark, d):
-    return ingest.ordered(_records(spark, d)).select("uuid7", "path").limit(60)
+    return ingest.placed(_records(spark, d)).select("uuid7", "path", "place")
 
 
 @query(f"with {_DOCS} select sha256(coalesce(path, '')) as identifier, count(*) as n, round_even(('0x' || substr(sha256(coalesce(path, '')), 1, 2))::int / 255.0::double, 6) as first from docs group by all")
@@ -246,12 +246,12 @@ def metadata_and_classifications(spark, d):
     return t["metadata"].join(t["classifications"], "version_id")
 
 
-@query("select 'b' || n_nationkey as id, n_name as source, '2026-01-01' as generated_at, case when n_nationkey % 2 = 0 then 'complete' else 'pending' end as status from nation")
+@query("select 'b' || o_orderkey as id, o_orderpriority as source, '2026-01-01' as generated_at, case when o_orderkey % 2 = 0 then 'complete' else 'pending' end as status from orders")
 def batches(spark, d):
     made = spark.createDataFrame([], "id string, source string, generated_at string, status string, ord long")
-    n = W.table(spark, d, "nation").select(F.concat(F.lit("b"), "n_nationkey").alias("id"), F.col("n_name").alias("source"), F.lit("2026-01-01").alias("generated_at"), "n_nationkey")
+    n = W.table(spark, d, "orders").select(F.concat(F.lit("b"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.lit("2026-01-01").alias("generated_at"), "o_orderkey")
     begun = n.select("id", "source", "generated_at", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("ord"))
-    return ingest.complete_batches(made.unionByName(begun), n.where("n_nationkey % 2 = 0").select("id")).drop("ord")
+    return ingest.complete_batches(made.unionByName(begun), n.where("o_orderkey % 2 = 0").select("id")).drop("ord")
 
 
 @query(f"""with {_DOCS}, g as (select uuid7, min(blake3) as hash from ok group by 1), v as (select uuid7, count(*) as n from docs group by 1)
