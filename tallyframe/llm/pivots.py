@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import bounded, by_component, components, cut, forest, table
 from tallyframe.llm.vectors import element, packed, unpacked, units
 
-#: Pivots: as many as the root of the number of vectors divided by 8, within these bounds.
-LEAST, MOST = 16, 1024
+#: Pivots: as many as the root of the number of vectors (of a length) divided by 8, within these bounds. So lists grow with the root of the table up to
+#: (8 * MOST) ** 2, some 10^9 vectors of a length; beyond, they grow with it, still as pairs of blocks of bounded size.
+LEAST, MOST = 16, 4096
+#: Vectors whose cosines to all pivots are held at once.
+DESCRIBED = 1024
 #: Vectors on one side of a block.
 BLOCK = 1024
 #: Pivots of a permutation.
@@ -40,13 +43,12 @@ SHARED = 4
 TOGETHER = 50_000
 
 
-def _pivots(nodes: DataFrame, count: int, seed: int, dtype: str) -> dict[int, np.ndarray]:
-    """Unit pivots by length of vectors: a sample of bounded size (count of each of the commonest lengths)."""
-    lengths = [r[0] for r in nodes.groupBy("bytes").count().orderBy(F.desc("count"), "bytes").limit(64).collect()]
+def _pivots(nodes: DataFrame, count: int | None, seed: int, dtype: str) -> dict[int, np.ndarray]:
+    """Unit pivots by length of vectors: samples of bounded size, for each of the commonest lengths. count: how many of each, else by the number of vectors of the length."""
     found = {}
-    for n in lengths:
-        rows = nodes.where(F.col("bytes") == n).select("vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(count).collect()
-        found[n] = units(unpacked(pd.Series([bytes(r[0]) for r in rows]), dtype))
+    for n, rows in [tuple(r) for r in nodes.groupBy("bytes").count().orderBy(F.desc("count"), "bytes").limit(64).collect()]:
+        some = nodes.where(F.col("bytes") == n).select("vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(count or max(LEAST, min(MOST, int(rows**0.5 / 8)))).collect()
+        found[n] = units(unpacked(pd.Series([bytes(r[0]) for r in some]), dtype))
     return found
 
 
@@ -55,11 +57,11 @@ def permutations(unit: np.ndarray, pivots: np.ndarray, reach: float, shared: int
     near = unit @ pivots.T
     shared = min(shared, len(pivots))
     order = np.argsort(-near, axis=1, kind="stable")[:, :shared].astype(np.int32)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
-    surely = np.zeros(near.shape, np.int32)  # how many of the nearest pivots are nearer than p to whatever is in reach
+    surely = np.zeros(near.shape, np.int8)  # how many of the nearest pivots are nearer than p to whatever is in reach
     for k in range(shared):
-        q = order[:, k]
-        surely += near[np.arange(len(unit)), q][:, None] - near > reach * apart[q] + 1e-9
+        some, q = np.unique(order[:, k], return_inverse=True)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots[some] @ pivots.T)))
+        surely += near[np.arange(len(unit)), order[:, k]][:, None] - near > reach * apart[q] + 1e-9
     return order, surely < 1, surely < shared
 
 
@@ -77,10 +79,11 @@ def _described(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float
                 at = np.flatnonzero(size == n)
                 if (p := held.value.get(int(n))) is None:
                     continue  # lengths too rare to have pivots: one list, in which all may be linked
-                order, first, some = permutations(units(unpacked(vectors.iloc[at], dtype)), p, reach)
-                bits = np.packbits(some, axis=1)
-                for k, o, f, b in zip(at, order, first, bits, strict=True):
-                    out["home"][k], out["list"][k], out["order"][k], out["possible"][k] = int(o[0]), np.flatnonzero(f).astype(np.int32), o.astype("<i2").tobytes(), b.tobytes()
+                for low in range(0, len(at), DESCRIBED):
+                    own = at[low : low + DESCRIBED]
+                    order, first, some = permutations(units(unpacked(vectors.iloc[own], dtype)), p, reach)
+                    for k, o, f, b in zip(own, order, first, np.packbits(some, axis=1), strict=True):
+                        out["home"][k], out["list"][k], out["order"][k], out["possible"][k] = int(o[0]), np.flatnonzero(f).astype(np.int32), o.astype("<i2").tobytes(), b.tobytes()
             yield pd.DataFrame(out)
 
     return nodes.withColumn("_p", of("vector")).select("node", "n", "label", "bytes", "vector", "_p.home", "_p.list", "_p.order", "_p.possible")
@@ -127,7 +130,7 @@ def _verified(threshold: float, dtype: str):
     return of
 
 
-def _links(nodes: DataFrame, threshold: float, count: int, block: int, seed: int, dtype: str) -> DataFrame:
+def _links(nodes: DataFrame, threshold: float, count: int | None, block: int, seed: int, dtype: str) -> DataFrame:
     described = cut(_described(nodes, _pivots(nodes, count, seed, dtype), threshold, dtype))
     carried = ("node", "n", "vector", "order", "possible")
     pair = described.select(*carried, "label", "bytes", "home", F.explode("list").alias("other")).select(
@@ -156,8 +159,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     part = F.col("vector").isNotNull() & F.col("label").isNotNull()
     grouped = own.where(part).groupBy("label", "digest").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("bytes", F.length("vector")))
-    total = nodes.count()
-    found = cut(_links(nodes, threshold, pivots or max(LEAST, min(MOST, int(total**0.5 / 8))), block, seed, dtype))
+    found = cut(_links(nodes, threshold, pivots, block, seed, dtype))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     named = nodes.select("node", "first").join(group, "node")

@@ -62,6 +62,11 @@ def test_odd_rows(spark):
     assert got(spark, []) == []
 
 
+def test_more_pivots_than_some_lengths_have_vectors(spark):
+    rows = cloud(4, 150, 24, 0.1) + [(1000 + i, 1, [1.0, 0.1 * (i % 3)]) for i in range(9)]
+    assert got(spark, rows, pivots=300) == brute(rows)
+
+
 def test_hot_copies(spark):
     rows = [(i, 1, [1.0, 2.0, 3.0]) for i in range(60)] + [(60 + i, 1, [1.0, 2.0, 3.0 + i / 1000]) for i in range(40)] + cloud(9, 50, 3, 0.01)
     rows = [(k, label, v) for k, (_, label, v) in enumerate(rows)]
