@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,11 @@ from tallyframe.functions.paths import canonical_path
 
 
 def plan(files: DataFrame, root: str, algorithm: str = "sha256") -> DataFrame:
-    """files (path, digest) with canonical_path and whether the row is the one whose content is copied."""
-    first = Window.partitionBy("digest").orderBy("path")
-    return files.withColumn("canonical_path", canonical_path(root, F.col("digest"), algorithm)).withColumn("copied", F.row_number().over(first) == 1)
+    """files (path, digest) with canonical_path and whether the row is the one whose content is copied: the first path of its digest. A digest may be that of very many files, such as empty
+    ones: its first path is found by a partial aggregate, and the join has one row for each digest on one side."""
+    first = files.groupBy("digest").agg(F.min("path").alias("_first"))
+    rows = files.withColumn("canonical_path", canonical_path(root, F.col("digest"), algorithm)).join(first.withColumnRenamed("digest", "_digest"), F.col("digest").eqNullSafe(F.col("_digest")))
+    return rows.withColumn("copied", F.col("path") == F.col("_first")).drop("_first", "_digest")
 
 
 def _sha256(path: str) -> str:

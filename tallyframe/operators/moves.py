@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.graph import cut, numbered
+
 LOCATION = ("provider", "path", "device_id")
+#: Rows of a digest in a snapshot that one task may number.
+HOT_ROWS = 1_000_000
 
 
 def _located(snapshot: DataFrame) -> DataFrame:
@@ -26,14 +30,27 @@ def _gone(these: DataFrame, those: DataFrame) -> DataFrame:
     return these.join(other, same, "left_anti")
 
 
-def detect(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Move and copy events, event_type telling which. Event ids follow from what the event says."""
+def _in_order(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with rn, their place among those of their digest. Digests that very many rows share (hot) are numbered by ranges of one sort, not by a task each."""
+    order = Window.partitionBy("content_hash").orderBy("ord", *LOCATION)
+    if hot is None:
+        return rows.withColumn("rn", F.row_number().over(order))
+    few = rows.join(F.broadcast(hot), "content_hash", "left_anti").withColumn("rn", F.row_number().over(order))
+    many = numbered(rows.join(F.broadcast(hot), "content_hash", "left_semi"), "content_hash", "ord", *LOCATION, name="_place")
+    first = F.broadcast(many.groupBy("content_hash").agg(F.min("_place").alias("_first")))  # a row for each hot digest
+    return few.unionByName(many.join(first, "content_hash").withColumn("rn", (F.col("_place") - F.col("_first") + 1).cast("int")).select(*few.columns))
+
+
+def detect(previous: DataFrame, current: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Move and copy events, event_type telling which. Event ids follow from what the event says. A digest with more than hot_rows rows in a snapshot is hot."""
+    sizes = previous.select("content_hash", F.lit(1).alias("_p"), F.lit(0).alias("_c")).unionAll(current.select("content_hash", F.lit(0), F.lit(1)))
+    hot = cut(sizes.groupBy("content_hash").agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c")).where((F.col("_p") > hot_rows) | (F.col("_c") > hot_rows)).select("content_hash"))
+    hot = None if hot.isEmpty() else hot  # no more of them than rows divided by hot_rows
     before, now = _located(previous), _located(current)
     known = before.select("content_hash").distinct()
     gone = _gone(before, now).join(now.select("content_hash").distinct(), "content_hash", "left_semi")
     new = _gone(now, before).join(known, "content_hash", "left_semi")
-    order = Window.partitionBy("content_hash").orderBy("ord", *LOCATION)
-    gone, new = gone.withColumn("rn", F.row_number().over(order)), new.withColumn("rn", F.row_number().over(order))
+    gone, new = _in_order(gone, hot), _in_order(new, hot)
     old = gone.select("content_hash", "rn", *(F.col(c).alias(f"from_{c}") for c in LOCATION))
     moved = new.join(old, ["content_hash", "rn"]).withColumn("event_type", F.lit("move"))
     anchor = previous.groupBy("content_hash").agg(F.min_by(F.struct(*LOCATION), "ord").alias("a")).select("content_hash", *(F.col(f"a.{c}").alias(f"from_{c}") for c in LOCATION))

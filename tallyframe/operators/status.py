@@ -103,6 +103,16 @@ def run_errors(error_log: DataFrame, most: int = 100) -> DataFrame:
     return error_log.orderBy(F.desc("ord")).limit(most).orderBy("ord")
 
 
+def run_summary(indexed: DataFrame, digests: DataFrame) -> DataFrame:
+    """One row on a staged scan, from its index (path, size, mtime) and its digests (path, size, digest, error): files and bytes indexed, files with a digest and without, the bytes that
+    copies take beyond the first, and when the newest file was changed."""
+    whole = indexed.agg(F.count("*").alias("files_total"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_total"), F.max("mtime").alias("newest_mtime"))
+    copies = digests.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    unique = copies.agg(F.count("*").alias("distinct_digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("files_digested"), F.coalesce(F.sum((F.col("n") - 1) * F.col("size")), F.lit(0)).alias("bytes_in_copies"))
+    failed = digests.agg(F.count("error").alias("files_failed"))
+    return whole.join(F.broadcast(unique)).join(F.broadcast(failed))  # a row each
+
+
 def readiness(state: DataFrame, log: DataFrame, index_there: bool, tables: dict[str, DataFrame]) -> DataFrame:
     """(check, passed, detail, all_passed): whether stage 2 is logged as complete, stage 3 can run or has begun, and the tables hold rows.
     log: (ord, line). The last line that says so counts."""

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyframe.operators import canonical, delta, postings
+from tallyframe.operators import canonical, delta, postings, status
 from tallyframe.operators.graph import cut, numbered, shared_folder
 from tallyframe.operators.merge import Snapshots
 from tallyframe.plans import views as W
@@ -117,6 +117,15 @@ def staged_scan(spark, d):
     return _texts(stages.run(spark, root, f"{root}-run")).select(F.substring_index("path", "/", -1).alias("name"), "digest", "error")
 
 
+@query(_N + """, g as (select sha256(body) as d, count(*) as n, strlen(any_value(body)) as size from n group by 1) select count(*) as files_total, sum(strlen(body))::bigint as bytes_total,
+ (select count(*) from g) as distinct_digests, count(*) as files_digested, (select sum((n - 1) * size) from g)::bigint as bytes_in_copies, 0 as files_failed from n""")
+def scan_summary(spark, d):
+    """What a staged scan has found, in a row."""
+    root = _tree(spark, d)
+    digests = _texts(stages.run(spark, root, f"{root}-run"))
+    return status.run_summary(_texts(Snapshots(spark, f"{root}-run/index").read()), digests).drop("newest_mtime")
+
+
 @query(_N + """select path from (select folder || '/' || name as path from n union all select folder || '/' || doc_id || '.gdoc' from n where doc_id % 50 = 8) order by path limit 100""")
 def scan_sample(spark, d):
     """The first hundred files by path, which the first stage of a scan keeps."""
@@ -374,13 +383,18 @@ def _refuse_fifths(record: dict) -> None:
 
 @query("select doc_id as k, source as name from documents")
 def migrated_table(spark, d):
-    """Statements that create a table run twice, and change nothing the second time."""
+    """Files of statements are applied in the order of their names, once: the second creates what the first one needs not have."""
     at = _folder(spark)
     name = f"migrated_{at.rsplit('/', 1)[1]}"
-    ddl = [f"create table if not exists {name} (k long, name string) using parquet location 'file:{at}/t'"]
-    manifests.create_tables(spark, ddl)
+    os.makedirs(f"{at}/sql")
+    for k, text in ((2, f"create table {name} (k long, name string)\n using parquet location 'file:{at}/t';\n"), (1, f"drop table if exists {name};\nselect ';';")):
+        with open(f"{at}/sql/{k:03d}.sql", "w") as f:  # two files of a few words
+            f.write(text)
+    if manifests.migrate(spark, f"{at}/sql", f"{at}/history") != ["001.sql", "002.sql"]:
+        raise ValueError("migrations out of order")
     W.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("source").alias("name")).write.insertInto(name)
-    manifests.create_tables(spark, ddl)
+    if manifests.migrate(spark, f"{at}/sql", f"{at}/history"):
+        raise ValueError("a migration was applied twice")
     rows = spark.read.parquet(f"file:{at}/t")
     spark.sql(f"drop table {name}")  # its files stay
     return rows

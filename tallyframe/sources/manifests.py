@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,30 @@ def create_tables(spark: SparkSession, statements: list[str]) -> None:
         spark.sql(s)
 
 
+def migrate(spark: SparkSession, folder: str, history: str) -> list[str]:
+    """Applies the files of a folder (*.sql, statements that end with a semicolon at the end of a line) in order of their names, those that the history (a folder of JSON rows) doesn't
+    name yet. Each is written down once it has been applied whole, so that a run that broke off goes on with the file that failed. Returns the names that were applied."""
+    from pyspark.errors import AnalysisException
+
+    rows = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    try:
+        known = {r["name"] for r in spark.read.schema("name string, at timestamp").json(history).collect()}  # a row for each file
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = set()
+    applied = []
+    for r in sorted(rows.collect(), key=lambda r: r["name"]):  # scripts, which the driver runs
+        if r["name"] in known:
+            continue
+        for statement in (x.strip().rstrip(";").strip() for x in re.split(r";[ \t]*(?:\n|$)", r["value"])):
+            if statement:
+                spark.sql(statement)
+        spark.range(1).select(F.lit(r["name"]).alias("name"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(history)
+        applied.append(r["name"])
+    return applied
+
+
 def control_row(spark: SparkSession, path: str, default: str, schema: str) -> DataFrame:
     """The newest state in a control table of one JSON row a write, or the default (JSON) if there is none."""
     from pyspark.errors import AnalysisException

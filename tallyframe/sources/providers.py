@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 import itertools
 import json
 import os
+import pkgutil
 import shlex
 import subprocess
 from collections.abc import Callable, Iterator
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,6 +150,26 @@ def register(name: str, scanner: Scanner | Provider) -> None:
     _SCANNERS[name] = scanner if isinstance(scanner, Provider) else Provider(name, scanner)
 
 
+def discover(packages: tuple[str, ...] = (), group: str | None = None) -> tuple[str, ...]:
+    """Adds the providers of other packages: those in each module of a package (or in a module itself), and those that installed distributions name under a group of
+    entry points. A provider is an object of Provider, or a class of its own below it that needs no arguments. Returns the names added, in order of discovery."""
+    found: list[object] = []
+    for name in packages:
+        module = importlib.import_module(name)
+        inside = [importlib.import_module(f"{name}.{m.name}") for m in pkgutil.iter_modules(getattr(module, "__path__", []))]
+        found += [v for m in (module, *inside) for v in vars(m).values()]
+    if group:
+        found += [e.load() for e in entry_points(group=group)]
+    added = []
+    for value in found:
+        if isinstance(value, type) and issubclass(value, Provider) and value is not Provider and "name" in vars(value):
+            value = value()
+        if isinstance(value, Provider) and _SCANNERS.get(value.name) is not value:
+            register(value.name, value)
+            added.append(value.name)
+    return tuple(added)
+
+
 def providers() -> tuple[str, ...]:
     return tuple(sorted(_SCANNERS))
 

@@ -382,3 +382,20 @@ def test_references(spark):
     assert [(r.id, r.path) for r in files.collect()] == [("u", "/b")]
     hashes = ingest.upsert_hashes(made["hashes"].drop("ord").limit(0), made["hashes"])
     assert sorted((r.algorithm, r.digest, r["size"]) for r in hashes.collect()) == [("sha256", "h", 5), ("sha256", "x", 1)]
+
+
+def test_hot_digests_are_numbered_by_ranges(spark):
+    """The same events whether a digest's rows are numbered by one task or by ranges."""
+    columns = "ord long, instance_id string, canonical_id string, provider string, path string, device_id string, content_hash string"
+    before = [(i, f"i{i}", None, "p", f"/old/{i}" if i % 3 else f"/same/{i}", "d" if i % 2 else None, "empty" if i % 5 else f"h{i}") for i in range(120)]
+    after = [(i, f"i{i}", None, "p", f"/new/{i * 7 % 120}" if i % 3 else f"/same/{i}", "d" if i % 2 else None, "empty" if i % 5 else f"h{i}") for i in range(130)]
+    old, new = spark.createDataFrame(before, columns), spark.createDataFrame(after, columns)
+    want = sorted(map(str, moves.detect(old, new).collect()))
+    assert sorted(map(str, moves.detect(old, new, hot_rows=10).collect())) == want and len(want) >= 80
+
+
+def test_first_path_of_a_digest_is_copied(spark):
+    from tallyframe.operators import canonical
+
+    files = spark.createDataFrame([("/b", "x"), ("/a", "x"), ("/c", "y"), ("/d", None)], "path string, digest string")
+    assert {(r.path, r.copied) for r in canonical.plan(files, "/s").collect()} == {("/a", True), ("/b", False), ("/c", True), ("/d", True)}

@@ -159,3 +159,40 @@ def test_stages_resume(spark, tmp_path, tree):
     gone = Snapshots(spark, str(tmp_path / "gone"))
     lost = spark.createDataFrame([("/no/file", 1, 1.0)], "path string, size long, mtime double")
     assert stages.digest(lost, gone).first().error == "No such file or directory"
+
+
+def test_providers_of_other_packages(spark, tmp_path, monkeypatch):
+    import importlib.metadata
+    import sys
+
+    (tmp_path / "more_stores" / "inner").mkdir(parents=True)
+    (tmp_path / "more_stores" / "__init__.py").write_text("")
+    (tmp_path / "more_stores" / "tape.py").write_text(
+        "from tallyframe.sources.providers import Provider, scan_local\n\n\nclass Tape(Provider):\n    name = 'tape'\n\n    def __init__(self):\n        super().__init__('tape', scan_local)\n\n\nshelf = Provider('shelf', scan_local)\nother = 5\n"
+    )
+    dist = tmp_path / "more_stores-1.dist-info"
+    dist.mkdir()
+    (dist / "METADATA").write_text("Name: more_stores\nVersion: 1\n")
+    (dist / "entry_points.txt").write_text("[tallyframe.stores]\ntape = more_stores.tape:Tape\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(providers, "_SCANNERS", dict(providers._SCANNERS))
+    assert sorted(providers.discover(("more_stores",))) == ["shelf", "tape"] and {"shelf", "tape", "gdrive"} <= set(providers.providers())
+    assert providers.discover((), "tallyframe.stores") == ("tape",)
+    assert providers.discover((), "no.such.group") == () and importlib.metadata.version("more_stores") == "1"
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "x.txt").write_text("x")
+    assert providers.provider("tape").scan(spark, str(tmp_path / "data")).count() == 1
+    sys.modules.pop("more_stores", None)
+
+
+def test_migrations_stop_at_a_failure_and_go_on(spark, tmp_path):
+    at = tmp_path / "sql"
+    at.mkdir()
+    (at / "a.sql").write_text("create or replace temporary view m_one as select 1 as x;\n")
+    (at / "b.sql").write_text("create or replace temporary view m_two as select x + 1 as x from m_one;\nselect nonsense from nowhere;\n")
+    with pytest.raises(Exception, match="nowhere"):
+        manifests.migrate(spark, str(at), str(tmp_path / "done"))
+    (at / "b.sql").write_text("create or replace temporary view m_two as select x + 1 as x from m_one where 'a;b' = 'a;b'")
+    (at / "readme.txt").write_text("no statement")
+    assert manifests.migrate(spark, str(at), str(tmp_path / "done")) == ["b.sql"] and spark.table("m_two").first().x == 2
+    assert manifests.migrate(spark, str(at), str(tmp_path / "done")) == []
