@@ -3,8 +3,8 @@
 A line is cut further at the ends of sentences and clauses, so that a passage is found inside a paragraph too, but for less than a
 clause at each end. Units are normalised (words in
 lower case, single spaces), hashed to 96 bits and grouped by digest over the whole corpus; the document with the smallest id keeps
-a unit, its first occurrence there, and every other occurrence is a repeat. Units are short and short ones
-repeat by chance, so only runs of neighbouring repeats with enough words together are removed; their places in the
+a unit, its first occurrence there, and every other occurrence is a repeat (repeated_units gives them all). Units are short and short ones
+repeat by chance in nearly every document, so only runs of neighbouring repeats with enough words together are removed; their places in the
 original text are what the operator returns.
 
 A digest reaches the shuffle once for a task and document at most, counts are combined before it, and the join on digests has one
@@ -67,15 +67,24 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each removed run: doc_id, start, end (code points, end exclusive), n_units, n_words, kept_doc_id (the smallest id that keeps one of its units)."""
+def _repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every unit that repeats one before it: doc_id, version (a digest of the text), unit, start, end, words, first (the id that keeps it)."""
     found = text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_units, _SCHEMA)
     several = found.where("not again and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     several = cut(several)  # else it would come grouped by digest already, and the join could not split a digest's rows
     repeated = found.join(several, ["d0", "d1"], "left").where("again or doc_id > first")
-    repeated = repeated.select("doc_id", "version", "unit", "start", "end", "words", F.coalesce("first", "doc_id").alias("first")).distinct()
+    return repeated.select("doc_id", "version", "unit", "start", "end", "words", F.coalesce("first", "doc_id").alias("first")).distinct()
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each repeated unit, however short: doc_id, start, end, n_words, kept_doc_id."""
+    return _repeated(docs, id_col, text_col).select("doc_id", "start", "end", F.col("words").cast("long").alias("n_words"), F.col("first").alias("kept_doc_id"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row for each removed run: doc_id, start, end (code points, end exclusive), n_units, n_words, kept_doc_id (the smallest id that keeps one of its units)."""
     in_text = Window.partitionBy("doc_id", "version").orderBy("unit")
-    runs = repeated.withColumn("run", F.col("unit") - F.row_number().over(in_text)).groupBy("doc_id", "version", "run")
+    runs = _repeated(docs, id_col, text_col).withColumn("run", F.col("unit") - F.row_number().over(in_text)).groupBy("doc_id", "version", "run")
     wide = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min("first").alias("kept_doc_id"))
     return wide.where(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
@@ -98,6 +107,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_line_dedup starts from, without its floor: every repeated unit."""
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 SQL_LINES = rf"""
 with cut as (
   select doc_id, text, unnest(regexp_extract_all(text, '[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+')) as raw, generate_subscripts(regexp_extract_all(text, '[^\n.!?,;:]*[.!?,;:\n]+|[^\n.!?,;:]+'), 1) as k from documents),
@@ -112,6 +126,10 @@ select doc_id, min(start)::int as start, max(stop)::int as "end", count(*) as n_
 from runs group by doc_id, run having sum(words) >= {LEAST_WORDS}
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup}
+SQL_UNITS = SQL_LINES[: SQL_LINES.index(",\nruns as (")] + """
+select doc_id, start::int as start, stop::int as "end", words::bigint as n_words, first as kept_doc_id from marked where again or doc_id > first
+"""
+
+QUERIES = {"op6_line_dedup": op6_line_dedup, "repeated_lines": repeated_lines}
 #: For tables whose ids are unique.
-SQL = {"op6_line_dedup": SQL_LINES}
+SQL = {"op6_line_dedup": SQL_LINES, "repeated_lines": SQL_UNITS}

@@ -38,6 +38,8 @@ def test_documents(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{at}/documents.parquet'")
     assert sorted(con.execute(L.SQL_LINES).fetchall(), key=str) == found
+    units = sorted(map(tuple, L.repeated_lines(spark, at).collect()))
+    assert units == sorted(con.execute(L.SQL_UNITS).fetchall()) and len(units) > sum(r[3] for r in found)
 
 
 LONG = "The first sentence of a passage that many share has quite some words. And then a second one follows it here! Does a third one, with a question, make it long enough? Yes it does and so it is repeated."
