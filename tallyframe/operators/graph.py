@@ -37,42 +37,72 @@ def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
     return None if hot.isEmpty() else cut(hot)
 
 
-def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame | None) -> DataFrame:
+def look_up(df: DataFrame, key: str, found: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """df joined with found, which has one row for each key. What hot keys need from found is broadcast: HOT_KEYS rows at most."""
     if hot is None:
-        return df.join(found, key)
+        return df.join(found, key, how)
     hot = F.broadcast(hot)
     few = F.broadcast(found.join(hot, key, "left_semi"))
-    return df.join(hot, key, "left_anti").join(found, key).unionByName(df.join(few, key))
+    return df.join(hot, key, "left_anti").join(found, key, how).unionByName(df.join(hot, key, "left_semi").join(few, key, how))
 
 
 def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) for the ends of edges (a, b); component is the smallest node that can be reached.
 
-    Nodes take the smallest label around them and then their label's label, so a path of n nodes settles in about log n
-    rounds. Only counts and emptiness tests reach the driver. Edges are kept first, so that both directions are of the same
-    ones. Labels of up to `small` nodes are broadcast, so that no row is moved to look one up. Beyond, labels are joined, and what
-    the hub of a star, or a label that many nodes have, needs is broadcast on its own, so no task gets all their rows.
+    Each round hooks every node to the smallest one around it, follows hooks to their end (four times as far in each step, so a path of n nodes takes about log n steps), and goes on with the
+    edges between these ends: nodes that are hooked together are one, and edges inside them are gone. Only counts and emptiness tests reach the driver. Edges are kept first, so that all steps are of the same
+    ones. Hooks of up to `small` nodes are broadcast, so that no row is moved to look one up. Beyond, they are joined, and what
+    the hub of a star, or a hook that many nodes share, needs is broadcast on its own, so no task gets all their rows.
     """
     edges = cut(edges.select("a", "b"))
-    arcs = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    few = labels.count() <= small
-    rows = 0 if few else arcs.count()
-    hubs = None if few else hot_keys(arcs, "a", rows)
-    near = F.broadcast if few else lambda df: df
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    hooks: list[tuple[DataFrame, bool]] = []
     for _ in range(rounds):
-        offered = look_up(arcs, "a", near(labels.withColumnRenamed("node", "a")), hubs).groupBy("b").agg(F.min("component").alias("offer"))
-        nearer = labels.join(near(offered), F.col("node") == F.col("b")).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("label"))
-        nearer = nearer if few else cut(nearer)
-        above = labels.select(F.col("node").alias("label"), F.col("component").alias("over"))
-        step = cut(look_up(nearer, "label", near(above), None if few else hot_keys(nearer, "label", rows)).select("node", "was", F.least("label", "over").alias("component")))
-        labels = step.select("node", "component")
-        if step.where("was <> component").isEmpty():
-            return labels
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up = cut(ends.groupBy("node").agg(F.min(F.least("node", "other")).alias("up")))
+        rows = up.count()
+        few = rows <= small
+        near = F.broadcast if few else lambda df: df
+        up = _to_the_end(up, few, rows, rounds)
+        hooks.append((up, few))
+        for end in ("a", "b"):
+            found = near(up.select(F.col("node").alias(end), F.col("up").alias("_up")))
+            left = look_up(left, end, found, None if few else hot_keys(left, end, rows)).withColumn(end, F.col("_up")).select("a", "b")
+        left = cut(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if left.isEmpty():
+            return _followed(hooks)
     raise RuntimeError("components did not settle")
 
 
+def _to_the_end(up: DataFrame, few: bool, rows: int, rounds: int) -> DataFrame:
+    """(node, up) with up the end of the node's hooks, which lead to ever smaller nodes."""
+    near = F.broadcast if few else lambda df: df
+    for _ in range(rounds):
+        step = up.withColumn("was", F.col("up"))
+        for over in (up, None):
+            if over is None:  # the hooks of the first half step
+                over = step.select("node", "up")
+            above = near(over.select(F.col("node").alias("up"), F.col("up").alias("over")))
+            step = look_up(step, "up", above, None if few else hot_keys(step, "up", rows)).select("node", "was", F.col("over").alias("up"))
+            step = step if few else cut(step)
+        step = cut(step)
+        up = step.select("node", "up")
+        if step.where("was <> up").isEmpty():
+            return up
+    raise RuntimeError("hooks did not settle")
+
+
+def _followed(hooks: list[tuple[DataFrame, bool]]) -> DataFrame:
+    """The hooks of the first round, followed through those of the later ones, which are of ever fewer nodes."""
+    labels, few_nodes = hooks[0]
+    for up, few in hooks[1:]:
+        found = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        hot = None if few else hot_keys(labels, "up", labels.count())
+        labels = look_up(labels, "up", F.broadcast(found) if few else found, hot, "left").select("node", F.coalesce("over", "up").alias("up"))
+        labels = labels if few_nodes else cut(labels)
+    return cut(labels.select("node", F.col("up").alias("component")))
+
+
 def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
     """df with its rows' places in an order, from 0. Rows are sorted by ranges and numbered within each; only the ranges' counts are summed in one task."""
     rows = cut(df.orderBy(*order)).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
