@@ -16,24 +16,8 @@ class FrameSource(Protocol):
         """The next frame; StopIteration when there are no more."""
 
 
-class _Numbered:
-    def __init__(self, count: int, at: int):
-        self.count, self.at = count, at
-
-    def next_frame(self) -> bytes:
-        if self.at >= self.count:
-            raise StopIteration
-        self.at += 1
-        return b"frame %d" % (self.at - 1)
-
-
-def numbered(count: int) -> Callable[[int], FrameSource]:
-    """A source of so many numbered frames, for tests."""
-    return lambda at: _Numbered(count, at)
-
-
 class FrameReader(SimpleDataSourceStreamReader):
-    """Reads up to `batch` frames at a time. The offset is the number of frames taken; a source is opened at an offset, so that frames of a
+    """For one device on the driver's host; many go through sources.feed. Reads up to `batch` frames at a time. The offset is the number of frames taken; a source is opened at an offset, so that frames of a
     batch that is read again are the same if the device keeps them."""
 
     def __init__(self, open_at: Callable[[int], FrameSource], batch: int):
