@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import graph
-from tallyframe.operators.graph import cut, shared_folder  # noqa: F401  used by the operators beside this module
+from tallyframe.operators.graph import cut, forest, shared_folder  # noqa: F401  used by the operators beside this module
 
 #: A side is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -49,22 +48,6 @@ def text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
     return df
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node of its component under the links i-j."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return label
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of the links (src, dst); component is the smallest node reachable."""
     return graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b"))
