@@ -207,6 +207,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Links (src, dst) that connect the same nodes: each src with its smallest dst, and that one with the others. Where many nodes have the same few dst, as the members of a large group do whose
+    buckets or blocks overlap, the latter are the same for all of them, and about one link for each node is left. A src has no more dst than buckets, or blocks of one."""
+    stars = cut(edges.groupBy("src").agg(F.min("dst").alias("root"), F.sort_array(F.collect_set("dst")).alias("others")))
+    among = stars.where(F.size("others") > 1).select("root", "others").distinct().select(F.explode("others").alias("src"), F.col("root").alias("dst"))
+    return stars.select("src", F.col("root").alias("dst")).unionByName(among).where("src <> dst").distinct()
+
+
 # ---- similarity of shingle sets
 
 
@@ -278,8 +286,10 @@ def _compared(bits: int, similarity: float):
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if both >= similarity * (size[i] + size[j] - both):
                             root[max(a, b)] = min(a, b)
-                            src.append(node[low + i])
-                            dst.append(node[low + j])
+                root = [top(k) for k in range(high - low)]
+                own = [k for k, r in enumerate(root) if r != k]
+                src += node[low:high][own].tolist()
+                dst += node[low:high][[root[k] for k in own]].tolist()  # the same root from all of a group, so that links of overlapping groups agree
             yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
     return of
@@ -302,7 +312,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     nodes = own.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"))
     band = F.when(F.col("size") > 0, F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(float(-np.log(similarity)) * (1 + 1e-9) or 1e9)) + 1).otherwise(0).cast("int")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("band", band))
-    groups = cut(components(links(nodes.select("node", "fp", "band"), bits, segments=segments)))
+    groups = cut(components(thinned(links(nodes.select("node", "fp", "band"), bits, segments=segments))))
     wanted = cut(nodes.select("node", "h0", "h1", "fp").join(groups, "node"))
 
     @F.pandas_udf("binary")
@@ -314,7 +324,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     texts = docs.select(F.col(text_col).alias("text"), *digest).join(bounded(wanted), ["h0", "h1"])
     found = cut(texts.select("node", "fp", "component", shingles(F.col("text")).alias("shingles")).groupBy("node", "fp", "component").agg(F.first("shingles").alias("shingles")))
     dealt = _dealt(found, ["component"], sets).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
-    group = components(dealt.mapInPandas(_compared(bits, similarity), "src long, dst long"))
+    group = components(thinned(dealt.mapInPandas(_compared(bits, similarity), "src long, dst long")))
     linked = nodes.select("node", "h0", "h1", "first").join(group, "node")
     least = linked.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "h0", "h1")).alias("least"))
     stays = (F.col("h0") == F.col("least.h0")) & (F.col("h1") == F.col("least.h1"))

@@ -211,3 +211,11 @@ def test_by_component(spark, monkeypatch, most):
     got = {r.node: r.least for r in common.by_component(rows, least).collect()}
     want = {k: min(x for x in range(200) if (x % 7 if x % 2 else 0) == (k % 7 if k % 2 else 0)) for k in range(200)}
     assert got == want
+
+
+def test_overlapping_forests_are_thinned(spark):
+    """Many nodes with the same few partners: about one link each is left, and the same components."""
+    edges = spark.createDataFrame([(k, r) for k in range(20, 320) for r in range(0, 20, 2)] + [(1000, 1001), (1001, 1001)], "src long, dst long")
+    left = S.thinned(edges)
+    assert left.count() <= 300 + 9 + 1
+    assert sorted(map(tuple, S.components(left).collect())) == sorted(map(tuple, S.components(edges).collect()))
