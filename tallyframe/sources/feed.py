@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+#: Pieces that a batch is cut into at most, beside one for each provider.
+PIECES = 1000
+
+
 class Feed(Protocol):
     def ends(self) -> dict[str, int]:
         """How many events each provider has."""
@@ -50,8 +54,10 @@ class FeedReader(DataSourceStreamReader):
         return {p: min(n, before.get(p, 0) + self.most) if self.most else n for p, n in sorted(ends.items())}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
+        """Pieces of `piece` events, or of more where there would be over PIECES of them; their rows are read one by one."""
         self.at = end
-        return [Piece(p, a, min(a + self.piece, n)) for p, n in end.items() for a in range(start.get(p, 0), n, self.piece)]
+        piece = max(self.piece, -(-sum(max(0, n - start.get(p, 0)) for p, n in end.items()) // PIECES))
+        return [Piece(p, a, min(a + piece, n)) for p, n in end.items() for a in range(start.get(p, 0), n, piece)]
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         for k, row in enumerate(self.feed.events(partition.provider, partition.start, partition.end)):
@@ -121,10 +127,22 @@ class FolderFeed:
                 out[p] = (len(files) - 1) * self.size + len(self._lines(files[-1]))
         return out
 
+    def _place(self, provider: str, k: int, listed: list[str]) -> str:
+        """File number k of a provider. Where `write` has made a folder for it, that alone is listed; else all files are, once for a piece."""
+        from pyarrow import fs
+
+        store, at = self._store()
+        own = [i.path for i in store.get_file_info(fs.FileSelector(f"{at}/provider={provider}/part={k:012d}", allow_not_found=True)) if i.is_file and i.base_name.endswith(".json") and i.size]
+        if len(own) == 1:
+            return own[0]
+        if not listed:
+            listed += self._files(provider)
+        return listed[k]
+
     def events(self, provider: str, start: int, end: int) -> Iterator[tuple]:
-        files = self._files(provider)
+        listed: list[str] = []
         for k in range(start // self.size, -(-end // self.size)):
-            for n, line in enumerate(self._lines(files[k])):
+            for n, line in enumerate(self._lines(self._place(provider, k, listed))):
                 if start <= k * self.size + n < end:
                     row = json.loads(line)
                     yield tuple(row.get(f) for f in self.fields)
