@@ -43,26 +43,31 @@ class Recorder(StatefulProcessor):
         return pd.DataFrame([(key[0], first, last, n, "silence") for first, last, n in runs], columns=[c.split()[0] for c in OUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+        known = self.runs.exists()
+        runs = [tuple(r) for r in self.runs.get()] if known else []
         for part in rows:
             runs = self._folded(runs, part["at"].to_numpy(np.int64))
-        now = timerValues.getCurrentWatermarkInMs()
-        due = {last + self.silence for _, last, _ in runs}
-        for t in list(self.handle.listTimers()):
-            if t not in due:
+        if known:
+            for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-        for t in due:
-            self.handle.registerTimer(max(t, now + 1))
+        self._wait(runs, timerValues)
         self.runs.put(runs)
         yield self._closed(key, [])
 
+    def _wait(self, runs: list[tuple], timerValues) -> None:
+        """One timer for a session, for the first of its runs that will have been silent: calls to the state are what a session costs."""
+        if runs:
+            self.handle.registerTimer(max(min(last for _, last, _ in runs) + self.silence, timerValues.getCurrentWatermarkInMs() + 1))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() - self.silence
+        """Closes all runs that have been silent by the watermark, not only the one that the timer was for."""
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.silence
         runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
         done, left = [r for r in runs if r[1] <= until], [r for r in runs if r[1] > until]
         if left:
             self.runs.put(left)
-        else:
+            self._wait(left, timerValues)
+        elif runs:
             self.runs.clear()
         yield self._closed(key, done)
 
