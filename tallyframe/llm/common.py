@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import graph
-from tallyframe.operators.graph import cut, forest, shared_folder  # noqa: F401  used by the operators beside this module
+from tallyframe.operators.graph import cut, forest, shared_folder, small_batches  # noqa: F401  used by the operators beside this module
 
 #: A side is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -42,10 +42,7 @@ def one_by_one(counted: DataFrame, most: int = 4096) -> DataFrame:
 
 def text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
     """df, after making sure that Arrow batches of whole texts stay small."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df
+    return small_batches(df, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, after making sure that Arrow batches of whole texts stay small: the session's setting is lowered, never raised."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
     """The keys with so many rows that one task should not get them all; None if there are none."""
     hot = df.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows // HOT_KEYS)).select(key)

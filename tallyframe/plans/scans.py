@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyframe.operators import canonical, delta, postings, status
-from tallyframe.operators.graph import cut, numbered, shared_folder
+from tallyframe.operators.graph import cut, numbered, shared_folder, small_batches
 from tallyframe.operators.merge import Snapshots
 from tallyframe.plans import views as W
 from tallyframe.plans.queries import _CHAIN, query
@@ -47,7 +47,8 @@ def _tree(spark, d) -> str:
                         f.write(json.dumps({"url": f"doc/{k}", "id": int(k)}) if k % 100 == 8 else f"plain {k}")
             yield rows[["doc_id"]]
 
-    W.table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    rows = W.table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null")
+    small_batches(rows).mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -136,7 +137,7 @@ def scan_sample(spark, d):
 @query(_N + "select name, '/sha256/' || sha256(body) as canonical, 'ok' as status from n")
 def canonical_store(spark, d):
     root = _tree(spark, d)
-    files = _texts(walk.walk(spark, root, (), digest="sha256")).select("path", F.col("sha256").alias("digest"))
+    files = walk.digested(_texts(walk.walk(spark, root, ()))).select("path", "digest")
     done = canonical.materialize(canonical.plan(files, f"{root}-store"))
     return done.select(F.substring_index("path", "/", -1).alias("name"), F.regexp_extract("canonical_path", "/sha256/.*", 0).alias("canonical"), "status")
 
@@ -250,10 +251,14 @@ def postings_search(spark, d):
 # ---- streams
 
 
-def _stream(spark, rows, schema=None, files: int = 1):
-    """rows as a stream of JSON files of a new folder."""
+#: Rows that a task writes to a file of a stream, unless that made more files than a batch takes.
+A_FILE, FILES = 250_000, 800
+
+
+def _stream(spark, rows, schema=None, files: int | None = None):
+    """rows as a stream of JSON files of a new folder: so many, or by default as many as keep each small."""
     at = f"{_folder(spark)}/in"
-    rows.repartition(files).write.json(at)
+    rows.repartition(files or min(FILES, max(4, -(-rows.count() // A_FILE)))).write.json(at)
     return spark.readStream.schema(schema or rows.schema).json(at), at
 
 
@@ -341,7 +346,7 @@ r as (select *, sum(fresh::int) over (partition by session_id order by m, event_
 @query(f"""with {_RUNS} select session_id, min(m) as started, max(m) as stopped, count(*) as frames, 'silence' as closed_by from r group by session_id, k having max(m) + 21600000 <= (select max(m) from ms) - 3600000""")
 def recorder_stopped(spark, d):
     """Sessions of users that a timer has stopped after six hours without an event; those that may go on are still open."""
-    stream, at = _stream(spark, W.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")), files=4)
+    stream, at = _stream(spark, W.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")))
     own = spark.newSession()  # timers need a state store of their own kind, which is a setting of the session
     own.conf.set(*recorder.STORE)
     frames = own.readStream.schema("session_id string, ts timestamp").json(at)

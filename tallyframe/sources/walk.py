@@ -101,11 +101,34 @@ class WalkReader(DataSourceReader):
     def _row(self, path: str, name: str, error: OSError) -> tuple:
         return (path, name, None, None, None, None, None, None, None, str(error))
 
+    def _folders(self, partition: _Part, failed: list[OSError]) -> Iterator[tuple[str, Iterator[str]]]:
+        """Folders from the top down, each with the names of what is no folder in it, which are not held: a folder may have very many."""
+        todo = [partition.folder]
+        while todo:
+            folder, inner = todo.pop(), []
+
+            def names(folder: str = folder, inner: list[str] = inner) -> Iterator[str]:
+                try:
+                    with os.scandir(folder) as entries:
+                        for e in entries:
+                            try:
+                                is_dir = e.is_dir()
+                            except OSError:
+                                is_dir = False
+                            if not is_dir:
+                                yield e.name
+                            elif partition.deep and not e.is_symlink():
+                                inner.append(e.name)
+                except OSError as e:
+                    failed.append(e)
+
+            yield folder, names()
+            todo += [os.path.join(folder, n) for n in reversed(self._kept(folder, inner))]
+
     def read(self, partition: _Part) -> Iterator[tuple]:
         failed: list[OSError] = []
-        for folder, names, files in os.walk(partition.folder, onerror=failed.append):
-            names[:] = self._kept(folder, names) if partition.deep else []
-            for name in sorted(files):
+        for folder, files in self._folders(partition, failed):
+            for name in files:
                 path = os.path.join(folder, name)
                 try:
                     s = os.stat(path)
@@ -137,6 +160,13 @@ def file_digest(path: Column) -> Column:
     return of(path)
 
 
+def digested(files: DataFrame) -> DataFrame:
+    """(path, digest): the SHA-256 of listed files. A folder is one task's to list, however many files it has; they are dealt out evenly to be read. Files that
+    can't be read are left out, as by a walk that digests them itself."""
+    tasks = max(200, 4 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.select("path").repartition(tasks, "path").withColumn("f", file_digest(F.col("path"))).where("f.error is null").select("path", "f.digest")
+
+
 class WalkSource(DataSource):
     @classmethod
     def name(cls) -> str:
