@@ -39,18 +39,22 @@ SAMPLE = 190
 NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 20, 128, 40, 0.94
 #: Rows of the table, and queries, that meet in one task; the fewest bins, so that small tables use several cores.
 BLOCK, QUERIES_A_BLOCK, LEAST_BINS = 32_768, 8_192, 8
-#: Queries whose scores are held at once.
-TOGETHER = 128
+#: Queries whose scores are held at once, and scores while the neighbours of a sample are looked for.
+TOGETHER, SCORES = 128, 1 << 22
 
 
 def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, own: bool) -> np.ndarray:
-    out = []
-    for at in range(0, len(queries), 1024):
-        score = queries[at : at + 1024] @ rows.T
+    """The places of the k rows with the largest inner products, for each query, in no order. own: queries are the rows, and none finds itself.
+    No more than SCORES scores are held at once, and of their order only the places."""
+    out = np.empty((len(queries), min(k, len(rows))), np.int32)
+    step = max(1, SCORES // max(1, len(rows)))
+    for at in range(0, len(queries), step):
+        score = queries[at : at + step] @ rows.T
         if own:
             score[np.arange(len(score)), at + np.arange(len(score))] = -np.inf
-        out.append(np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k])
-    return np.concatenate(out)
+        np.negative(score, out=score)
+        out[at : at + len(score)] = np.argpartition(score, min(k, score.shape[1] - 1), axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(near: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 30, slack: float = 1.05) -> np.ndarray:
@@ -61,10 +65,6 @@ def balanced_parts(near: np.ndarray, parts: int, rng: np.random.Generator, round
     part = np.full(n, -1)
     for p, seed in enumerate(rng.permutation(n)[:parts]):  # parts grow around seeds
         part[seed] = p
-    back = [[] for _ in range(n)]
-    for i, row in enumerate(near):
-        for j in row:
-            back[j].append(i)
     for _ in range(rounds):
         votes = np.zeros((n, parts))
         for k in range(near.shape[1]):

@@ -135,3 +135,20 @@ def test_bins():
     assert len(spans[1]) == 2 and not spans[1] & set().union(*(s for p, s in enumerate(spans) if p != 1)) and max(map(max, spans)) < n
     first, several, n = A._bins([3, 3, 3, 3], 2, 100)
     assert len({*first[2:], first[0]}) == 3 and n == 3 + (first[1] != first[0])
+
+
+def test_neighbours_of_a_sample_are_found_in_bounded_memory():
+    """Matrices of scores, and of their order, are not kept; they would take 0.3 GB here and 3.6 GB for the largest sample."""
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(6000, 8))
+    tracemalloc.start()
+    near = A._nearest(x, x, 20, True)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 120e6
+    for i in range(0, 6000, 500):
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert set(near[i].tolist()) == set(np.argsort(-score)[:20].tolist())
+    assert A._nearest(x[:3], x[:2], 20, False).shape == (3, 2)
