@@ -3,7 +3,7 @@
 A byte goes if it lies in a string of LENGTH bytes that also starts in a document with a smaller id. To decide this, suffixes
 (up to LENGTH bytes) are sorted one bucket at a time, so that equal ones come together; no task holds the suffixes of the corpus.
 
-Texts are packed into chunks of bounded size and kept. In each stretch of LENGTH bytes the least hash of its strings of GRAM bytes is its
+Texts are packed into chunks of bounded size and kept, dealt by chunk; later only bits for them are shuffled, never the texts. In each stretch of LENGTH bytes the least hash of its strings of GRAM bytes is its
 anchor: equal stretches have the same one, at the same place. Neighbouring stretches share anchors, so a chunk has about one for
 thirteen stretches. First only hashes of anchors meet, in buckets by hash, and each chunk learns which of its anchors occur in several documents. Then the
 strings around these, and no others, go to the bucket of their anchor, each once for a chunk with the smallest document that has it.
@@ -43,8 +43,8 @@ LENGTH, GRAM = 50, 24
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text in a chunk, stretches in a slab, bytes of text for each bucket.
 CHUNK, SLAB, BUCKET = 4 << 20, 1 << 19, 8 << 20
-#: An anchor is hot from about so many strings on. The size up to which bits for chunks are broadcast.
-HOT, NEAR = 1 << 15, 48 << 20
+#: An anchor is hot from about so many strings on. The most ways that chunks are dealt to, which Spark bounds.
+HOT, MOST_WAYS = 1 << 15, 100_000
 _LOW = np.uint64(31)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
@@ -354,11 +354,19 @@ def _cut_out(buckets: int):
     return of
 
 
-def _with(chunks: DataFrame, bits: DataFrame, name: str) -> DataFrame:
-    """chunks with an array of (bucket, bits) of their own, as many as a chunk has buckets. The bits are broadcast if they are few in all."""
-    of = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    size = bits.agg(F.coalesce(F.sum(F.length("bits") + 40), F.lit(0))).first()[0]
-    return chunks.join(F.broadcast(of) if size <= NEAR else of, "chunk", "left")
+def _in_place(chunks: DataFrame, at: str, ways: int) -> DataFrame:
+    """chunks, kept as a table that is dealt to `ways` by chunk, so that what is joined with them by chunk comes to them and no text is shuffled."""
+    spark, name = chunks.sparkSession, f"suffixes_{uuid.uuid4().hex}"
+    chunks.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(ways, "chunk").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: the files stay
+    return kept
+
+
+def _with(chunks: DataFrame, bits: DataFrame, name: str, ways: int) -> DataFrame:
+    """chunks with an array of (bucket, bits) of their own, as many as a chunk has buckets."""
+    of = bits.repartition(ways, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    return chunks.join(of.hint("shuffle_hash"), "chunk", "left")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
@@ -371,15 +379,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return spark.read.parquet(f"{at}/{name}")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    chunks = keep(texts.mapInArrow(_chunked(chunk), "chunk long, ids array<long>, sizes array<long>, text binary"), "chunks")
-    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // bucket))
+    ways = min(MOST_WAYS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // max(4 * chunk, 1 << 20)))  # with fewer than Spark's own, it would move chunks
+    chunks = _in_place(texts.mapInArrow(_chunked(chunk), "chunk long, ids array<long>, sizes array<long>, text binary"), f"{at}/chunks", ways)
     records = chunks.mapInArrow(_recorded(buckets), "bucket long, chunk long, records binary")
     bits = keep(records.groupBy("bucket").applyInPandas(_flagged(hot), "bucket long, chunk long, bits binary"), "anchors")
-    known = _with(chunks, bits, "bits")
+    known = _with(chunks, bits, "bits", ways)
     sent = known.mapInArrow(_shipped(buckets), "bucket long, chunk long, n long, strings binary")
     settled = keep(sent.groupBy("bucket").applyInPandas(_settled, "bucket long, chunk long, bits binary"), "settled")
-    return _with(known, settled, "settled").mapInArrow(_cut_out(buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return _with(known, settled, "settled", ways).mapInArrow(_cut_out(buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def test_odd_texts(spark):
     assert {r.doc_id: len(r.spans) for r in S.without_repeats(extra).collect()} == {1: 0, 2: 1}
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """However large the bits for chunks are, they come to the chunks, and the chunks' names leave nothing in the catalog."""
+    monkeypatch.setattr(S, "NEAR", 0, raising=False)
+    df = spark.createDataFrame(planted(3, 60), "doc_id long, text string").repartition(6)
+    plan = S.without_repeats(df, chunk=1500, bucket=700)._jdf.queryExecution().executedPlan().treeString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert 1 <= len(moved) <= 2 and all("hashpartitioning(chunk" in line and "REPARTITION_BY_NUM" in line for line in moved)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffixes")]
+
+
 def test_long_text_in_slabs(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000, dtype=np.uint8)
